@@ -6,7 +6,10 @@ from importlib import import_module
 
 #: query -> module of this subpackage that has a function of that name.
 MODULES = {
+    "op1_mixing": "mixing",
+    "op4_ngram_jaccard": "ngram_join",
     "op6_quality_classifier": "cotraining",
+    "op9_packing": "packing",
     "op10_quality_rules": "quality_rules",
 }
 
