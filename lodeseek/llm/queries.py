@@ -7,8 +7,12 @@ from importlib import import_module
 #: query -> module of this subpackage that has a function of that name.
 MODULES = {
     "op1_mixing": "mixing",
+    "op2_tiff": "tiff",
     "op4_ngram_jaccard": "ngram_join",
+    "op5_warc": "warc",
     "op6_quality_classifier": "cotraining",
+    "op7_url_filters": "urlfilter",
+    "op8_toxicity": "toxicity",
     "op9_packing": "packing",
     "op10_quality_rules": "quality_rules",
 }
