@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_mixing": "mixing",
     "op2_tiff": "tiff",
+    "op3_license_scans": "license_scan",
     "op4_ngram_jaccard": "ngram_join",
     "op5_warc": "warc",
     "op6_quality_classifier": "cotraining",
