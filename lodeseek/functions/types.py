@@ -93,7 +93,7 @@ class Mapping:
     fields: dict[str, FieldType] = field(default_factory=dict)
 
     @classmethod
-    def of(cls, name: str, **fields: FieldType | str | int) -> Mapping:
+    def of(cls, name: str, /, **fields: FieldType | str | int) -> Mapping:
         out = cls(name)
         for f, kind in fields.items():
             out.add(f, kind)
