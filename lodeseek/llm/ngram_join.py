@@ -32,6 +32,10 @@ from lodeseek.llm.textfeat import _LOWER, _WORD, _power_tables, buffers, chunks
 N, T = 3, 0.5
 #: Size of the subsets, Jaccard that drawn sets must have, least size of a drawn set, highest level.
 C, SKETCH_T, M, TOP = 2, 0.3, 16, 4
+#: Sets are of one of 2**BLOCK_BITS blocks by their min-hash, in which copies mostly agree.
+BLOCK_BITS = 20
+#: Elements of sets that are intersected at once.
+AT_ONCE = 1 << 20
 #: Shuffled rows of a subset and of a posting cost about the same; a scanned list element costs this much of one.
 SCAN_COST = 0.5
 
@@ -103,15 +107,18 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 
 def _signature_udf(n: int, m: int, top: int):
-    @F.arrow_udf("n int, f1 long, f2 long, own array<long>, next array<long>")
+    @F.arrow_udf("n int, m int, f1 long, f2 long, own array<long>, next array<long>")
     def signature(texts: pa.Array) -> pa.Array:
         data, off = buffers(texts)
-        parts: list = [[] for _ in range(7)]
+        parts: list = [[] for _ in range(8)]
         for i, j in _runs(off):
             rows, g = gram_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], n)
             count = np.bincount(rows, minlength=j - i)
             at = np.concatenate(([0], np.cumsum(count)))
-            prints = []
+            # a row's n-grams are sorted, so its first one is its min-hash
+            least = np.zeros(j - i, np.uint64)
+            least[count > 0] = g[at[:-1][count > 0]]
+            prints = [(_mix(least) >> np.uint64(64 - BLOCK_BITS)).astype(np.int64)]
             for salt in (1, 2):
                 total = np.zeros(len(g) + 1, np.uint64)
                 np.cumsum(_mix(g + np.uint64(salt << 50)), out=total[1:])
@@ -123,7 +130,7 @@ def _signature_udf(n: int, m: int, top: int):
             for part, x in zip(parts, (count, *prints, (g[a].astype(np.int64) << 3) | lv[a], np.bincount(rows[a], minlength=j - i), (g[b].astype(np.int64) << 3) | (lv[b] + 1), np.bincount(rows[b], minlength=j - i))):
                 part.append(x)
         cat = [np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts]
-        return pa.StructArray.from_arrays([pa.array(cat[0].astype(np.int32)), pa.array(cat[1]), pa.array(cat[2]), _lists(cat[3], cat[4]), _lists(cat[5], cat[6])], ["n", "f1", "f2", "own", "next"])
+        return pa.StructArray.from_arrays([pa.array(cat[0].astype(np.int32)), pa.array(cat[1].astype(np.int32)), pa.array(cat[2]), pa.array(cat[3]), _lists(cat[4], cat[5]), _lists(cat[6], cat[7])], ["n", "m", "f1", "f2", "own", "next"])
 
     return signature
 
@@ -144,45 +151,154 @@ def _full_set_udf(n: int):
     return full_set
 
 
-def _common_udf():
-    @F.arrow_udf("long")
-    def common(a: pa.Array, b: pa.Array) -> pa.Array:
-        """Size of the intersection of two sets of sorted 32-bit hashes."""
-        found = []
-        for x, y in zip(a.to_pylist(), b.to_pylist()):
-            both = np.concatenate([np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)])
-            both.sort()
-            found.append(int((both[1:] == both[:-1]).sum()))
-        return pa.array(found, pa.int64())
-
-    return common
-
-
 def _subsets_udf(c: int):
-    @F.arrow_udf("array<long>")
+    @F.arrow_udf("array<struct<first:long,key:long>>")
     def subsets(prefix: pa.Array) -> pa.Array:
-        """A hash of each c-subset of each list."""
+        """Each c-subset of each list: its first element, and a hash of the others. Lists are in one order of all elements."""
         from itertools import combinations
 
         off = prefix.offsets.to_numpy()
         flat = prefix.values.to_numpy(zero_copy_only=False).view(np.uint64)
         index: dict = {}
-        values, sizes = [], []
+        firsts, keys, sizes = [], [], []
         for i in range(len(prefix)):
-            own = np.sort(flat[off[i] : off[i + 1]])
+            own = flat[off[i] : off[i + 1]]
             q = len(own)
             if q not in index:
                 index[q] = np.asarray(list(combinations(range(q), c)), np.int64).reshape(-1, c)
             h = np.zeros(len(index[q]), np.uint64)
-            for k in range(c):
+            for k in range(1, c):
                 h = _mix(h * _G + own[index[q][:, k]])
-            values.append(h.view(np.int64))
+            firsts.append(own[index[q][:, 0]].view(np.int64))
+            keys.append(h.view(np.int64))
             sizes.append(len(h))
-        return _lists(np.concatenate(values) if values else np.zeros(0, np.int64), np.asarray(sizes, np.int64))
+        none = np.zeros(0, np.int64)
+        both = pa.StructArray.from_arrays([pa.array(np.concatenate(x) if x else none) for x in (firsts, keys)], ["first", "key"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), both)
 
     return subsets
 
 
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of x[i] and y[i], sets of hashes under 2**48. Some pairs at once, by their elements."""
+    out = np.zeros(len(x), np.int64)
+    sizes = np.asarray([len(a) + len(b) for a, b in zip(x, y)], np.int64)
+    ends = np.cumsum(sizes)
+    a = 0
+    while a < len(x):
+        b = min(max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + AT_ONCE, "right"))), a + 65_535)
+        own, other = x[a:b], y[a:b]
+        at = np.arange(len(own), dtype=np.uint64) << np.uint64(48)
+        both = np.concatenate([*own, *other]).astype(np.uint64) | np.concatenate([np.repeat(at, [len(v) for v in s]) for s in (own, other)])
+        both.sort()
+        out[a:b] = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(48)).astype(np.int64), minlength=len(own))
+        a = b
+    return out
+
+
+def _possible(found: DataFrame, t: float) -> DataFrame:
+    """Pairs (a, b) of structs (k, m, n) whose sizes n allow a similarity of t, as (k1, k2, c1, c2) with found's other columns. c1, c2: their cell."""
+    rest = [c for c in found.columns if c not in ("a", "b")]
+    sized = found.where(F.least("a.n", "b.n") >= t * F.greatest("a.n", "b.n"))
+    return sized.select(*rest, F.col("a.k").alias("k1"), F.col("b.k").alias("k2"), F.least("a.m", "b.m").alias("c1"), F.greatest("a.m", "b.m").alias("c2"))
+
+
+def _met(pairs: DataFrame, sets: DataFrame, judge, more: tuple[str, ...] = ()) -> DataFrame:
+    """pairs (k1, k2, c1, c2) that judge lets pass, with the columns more that it finds.
+
+    sets: (k, v binary). Each set goes once to each cell (c1, c2) that has it in a pair: a cell is made of the
+    blocks of both, and copies share a block, so a group of n of them moves n sets, not one for each of its pairs.
+    judge(x, y): values of both sets of some pairs -> (what stays, columns).
+    """
+    wanted = pairs.select("c1", "c2", F.explode(F.array("k1", "k2")).alias("k")).groupBy("k").agg(F.collect_set(F.struct("c1", "c2")).alias("cells"))
+    none = F.lit(None)
+    there = wanted.join(sets, "k").select(F.explode("cells").alias("c"), "k", "v").select("c.c1", "c.c2", F.lit(0).alias("tag"), F.col("k").alias("k1"), none.cast("long").alias("k2"), "v")
+    line = there.unionByName(pairs.select("c1", "c2", F.lit(1).alias("tag"), "k1", "k2", none.cast("binary").alias("v")))
+    names = ["k1", "k2", "c1", "c2"]
+
+    def sweep(batches):
+        at, own = None, {}
+        for b in batches:
+            x, y, rows = [], [], []
+            values = b.column("v")
+            for i, (c1, c2, tag, k1, k2) in enumerate(zip(*(b.column(c).to_pylist() for c in ("c1", "c2", "tag", "k1", "k2")))):
+                if (c1, c2) != at:
+                    at, own = (c1, c2), {}
+                if not tag:
+                    own[k1] = values[i].as_py()
+                else:
+                    x.append(own[k1])
+                    y.append(own[k2])
+                    rows.append(i)
+            if not rows:
+                continue
+            stays, found = judge(x, y)
+            take = pa.array(np.asarray(rows, np.int64)[stays])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in names), *found], [*names, *(c.split()[0] for c in more)])
+
+    return line.repartition("c1", "c2").sortWithinPartitions("c1", "c2", "tag").mapInArrow(sweep, ", ".join(["k1 long", "k2 long", "c1 int", "c2 int", *more]))
+
+
+def _pack_udf():
+    @F.arrow_udf("binary")
+    def pack(own: pa.Array, following: pa.Array) -> pa.Array:
+        """Drawn sets as bytes: own's level and length, own, next."""
+        flat, off = [], []
+        for s in (own, following):
+            flat.append(s.values.to_numpy(zero_copy_only=False))
+            off.append(s.offsets.to_numpy())
+        out = []
+        for i in range(len(own)):
+            a, b = (f[o[i] : o[i + 1]] for f, o in zip(flat, off))
+            level = (a[0] if len(a) else b[0] - 1 if len(b) else 0) & 7
+            out.append(np.concatenate(([level, len(a)], a >> 3, b >> 3)).astype(np.int64).tobytes())
+        return pa.array(out, pa.binary())
+
+    return pack
+
+
+def _sketch_judge(sketch_t: float):
+    def judge(x, y):
+        """Pairs that both drawn sets, at the higher of their levels, leave possible."""
+        cache: dict[int, np.ndarray] = {}
+
+        def read(v: bytes) -> np.ndarray:
+            if id(v) not in cache:
+                cache[id(v)] = np.frombuffer(v, np.int64)
+            return cache[id(v)]
+
+        p, q = [read(v) for v in x], [read(v) for v in y]
+        own, other = [], []
+        for a, b in zip(p, q):
+            top = max(a[0], b[0])
+            own.append(a[2 : 2 + a[1]] if a[0] == top else a[2 + a[1] :])
+            other.append(b[2 : 2 + b[1]] if b[0] == top else b[2 + b[1] :])
+        o = _overlaps(own, other)
+        all_of = np.asarray([len(a) + len(b) for a, b in zip(own, other)], np.int64) - o
+        return o >= sketch_t * all_of, []
+
+    return judge
+
+
+def _full_judge(t: float):
+    def judge(x, y):
+        """Pairs of similarity t or more, with it."""
+        cache: dict[int, np.ndarray] = {}
+
+        def read(v: bytes) -> np.ndarray:
+            if id(v) not in cache:
+                cache[id(v)] = np.frombuffer(v, np.uint32)
+            return cache[id(v)]
+
+        p, q = [read(v) for v in x], [read(v) for v in y]
+        o = _overlaps(p, q)
+        j = o / np.maximum(np.asarray([len(a) + len(b) for a, b in zip(p, q)], np.int64) - o, 1)
+        stays = j >= t
+        return stays, [pa.array(j[stays])]
+
+    return judge
+
+
 def row_key(df: DataFrame):
     """One number for rows of one id and text."""
     return F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("doc_id").isNull(), F.coalesce(F.col("text"), F.lit("")))
@@ -214,49 +330,47 @@ def links(docs: DataFrame, n: int = N, t: float = T, c: int = C, sketch_t: float
     sig = docs.select("doc_id", row_key(docs).alias("k"), _signature_udf(n, m, top)("text").alias("s")).where("s.n > 0")
     sig = written(sig.select("doc_id", "k", "s.*"))
     sets = sig.groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "k")).alias("r"), F.max(F.struct("doc_id", "k")).alias("z"))
-    copies = sets.where("r < z").drop("z").join(sig, ["n", "f1", "f2"]).where("k != r.k").select(F.col("r.k").alias("k_a"), F.col("r.doc_id").alias("a"), F.col("k").alias("k_b"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard")).distinct()
-    # one row of each set, with its drawn elements
-    extra = sets.where("r < z").select(F.col("r.k").alias("k0"), "n", "f1", "f2")
-    rest = sig.join(extra, ["n", "f1", "f2"], "left").where("k0 is null or k0 = k").select("k", "n", "own", "next")
-    drawn = rest.select("k", F.explode(F.array("own", "next")).alias("e")).where(F.size("e") >= c)
-    posts = drawn.select("k", F.size("e").alias("s"), F.explode("e").alias("g"))
+    copies_of = sets.where("r < z").drop("z").join(sig, ["n", "f1", "f2"]).where("k != r.k").select(F.col("r.k").alias("k_a"), F.col("r.doc_id").alias("a"), F.col("k").alias("k_b"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard")).distinct()
+    # one row of each set, with its drawn elements: copies go by their keys, so that only here the sets move
+    gone = copies_of.select(F.col("k_b").alias("k")).distinct()
+    rest = written(sig.select("k", "n", "m", "own", "next").join(gone, "k", "left_anti").dropDuplicates(["k"]))
+    posts = rest.select("k", F.explode(F.array("own", "next")).alias("e")).where(F.size("e") >= c).select("k", F.size("e").alias("s"), F.explode("e").alias("g"))
     df = posts.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    live = posts.join(df, "g")
-    level = F.col("g").bitwiseAND(F.lit(7))
-    lists = live.groupBy("k", level.alias("level"), "s").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("e"))
+    live = posts.join(df, "g").repartition("k")
+    lists = live.groupBy("k", F.col("g").bitwiseAND(F.lit(7)).alias("level"), "s").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("e"))
     # rarest first: the s - size(e) elements of df 1 come before the live ones
     take = F.col("s") - F.ceil(F.col("s") * sketch_t) + c - (F.col("s") - F.size("e"))
-    lists = lists.withColumn("take", take.cast("int")).where(f"take >= {c}").withColumn("e", F.slice("e", 1, F.col("take"))).where(F.size("e") >= c)
-    prefixes = written(lists.select("k", F.transform("e", lambda x: x["g"]).alias("p"), F.aggregate("e", F.lit(0).cast("long"), lambda acc, x: acc + x["df"]).alias("scan")))
+    lists = lists.withColumn("take", take.cast("int")).withColumn("live", F.size("e")).where(f"take >= {c}").withColumn("e", F.slice("e", 1, F.col("take"))).where(F.size("e") >= c)
+    # own: drawn at the set's own level. Sets are compared at the higher of their levels, so one of a pair must be there by its own
+    at = rest.select("k", "m", "n", F.expr("own[0] & 7").alias("at"))
+    prefixes = written(lists.join(at, "k").select(F.struct("k", "m", "n", F.coalesce(F.col("at") == F.col("level"), F.lit(False)).alias("own"), "s", "live").alias("a"), F.transform("e", lambda x: x["g"]).alias("p"), F.aggregate("e", F.lit(0).cast("long"), lambda acc, x: acc + x["df"]).alias("scan")))
     x = boundary([(r.q, r.sets, float(r.scan)) for r in prefixes.groupBy(F.size("p").alias("q")).agg(F.count("*").alias("sets"), F.sum("scan").alias("scan")).collect()], c)
     small = F.size("p") <= x
-    keys = prefixes.where(small).select("k", F.explode(_subsets_udf(c)("p")).alias("key"))
-    met = keys.alias("l").join(keys.alias("r"), F.expr("l.key = r.key and l.k < r.k")).select(F.col("l.k").alias("k1"), F.col("r.k").alias("k2")).distinct()
-    heavy = prefixes.where(~small).select("k", F.explode("p").alias("g"))
-    every = prefixes.select("k", small.alias("small"), F.explode("p").alias("g"))
-    scanned = heavy.alias("h").join(every.alias("o"), F.expr("h.g = o.g and h.k != o.k and (o.small or h.k < o.k)"))
-    scanned = scanned.groupBy(F.least("h.k", "o.k").alias("k1"), F.greatest("h.k", "o.k").alias("k2"), F.expr("h.g & 7").alias("level")).count().where(f"count >= {c}").select("k1", "k2")
-    pairs = met.unionByName(scanned).distinct()
+    # two sets have no more in common than either has elements that aren't its own alone
+    apart = (F.col("a.own") | F.col("b.own")) & (F.least("a.live", "b.live") * (1 + sketch_t) >= sketch_t * (F.col("a.s") + F.col("b.s")))
+    # subsets go by their first element: what two sets share beside it then meets in one task, and each pair leaves it once
+    keys = prefixes.where(small).select("a", F.explode(_subsets_udf(c)("p")).alias("s")).select("a", "s.first", "s.key").repartition("first")
+    same = keys.groupBy("first", "key").agg(F.sort_array(F.collect_list("a")).alias("all")).where("size(all) > 1")
+    met = same.select("first", "all", F.posexplode("all").alias("i", "a")).where("i + 1 < size(all)").select("first", "a", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("b")).where("a.k < b.k").where(apart)
+    met = _possible(met, t).dropDuplicates(["first", "k1", "k2"]).drop("first")
+    heavy = prefixes.where(~small).select("a", F.explode("p").alias("g"))
+    every = prefixes.select(F.col("a").alias("b"), small.alias("small"), F.explode("p").alias("g"))
+    scanned = heavy.join(every, "g").where("a.k != b.k and (small or a.k < b.k)").where(apart)
+    scanned = scanned.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("g & 7").alias("level")).count().where(f"count >= {c}")
+    # pairs of the same cell are judged in one place, so that is where they go to be found the same
+    pairs = met.unionByName(_possible(scanned.select("a", "b"), t)).repartition("c1", "c2").dropDuplicates(["c1", "c2", "k1", "k2"])
+    pairs = written(pairs)
     # both drawn sets at the higher of the two levels decide which pairs are looked at in full
-    def at(side: str):
-        return F.expr(f"case when {side}_own[0] & 7 = lv then {side}_own else {side}_next end")
-
-    sketch = rest.select("k", "n", "own", "next")
-    seen = pairs.join(sketch.select(F.col("k").alias("k1"), F.col("n").alias("n1"), F.col("own").alias("x_own"), F.col("next").alias("x_next")), "k1")
-    seen = seen.join(sketch.select(F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("own").alias("y_own"), F.col("next").alias("y_next")), "k2")
-    seen = seen.withColumn("lv", F.greatest(F.expr("x_own[0] & 7"), F.expr("y_own[0] & 7"))).withColumn("x", at("x")).withColumn("y", at("y"))
-    seen = seen.withColumn("o", F.size(F.array_intersect("x", "y")))
-    seen = seen.where((F.col("o") >= sketch_t * (F.size("x") + F.size("y") - F.col("o"))) & (F.least("n1", "n2") >= t * F.greatest("n1", "n2"))).select("k1", "k2", "n1", "n2")
-    seen = written(seen)
+    seen = written(_met(pairs, rest.select("k", _pack_udf()("own", "next").alias("v")), _sketch_judge(sketch_t)))
     wanted = seen.select(F.explode(F.array("k1", "k2")).alias("k")).distinct()
-    full = docs.select("doc_id", row_key(docs).alias("k"), "text").join(wanted, "k", "left_semi").select("k", "doc_id", _full_set_udf(n)("text").alias("set")).groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.max("set").alias("set"))
+    full = docs.select("doc_id", row_key(docs).alias("k"), "text").join(wanted, "k", "left_semi").select("k", "doc_id", _full_set_udf(n)("text").alias("v")).groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.max("v").alias("v"))
     full = written(full)
-    one, two = (full.select(F.col("k").alias(f"k{i}"), F.col("doc_id").alias(f"d{i}"), F.col("set").alias(f"set{i}")) for i in (1, 2))
-    near = seen.join(one, "k1").join(two, "k2").withColumn("o", _common_udf()("set1", "set2"))
-    near = near.withColumn("jaccard", F.col("o") / (F.col("n1") + F.col("n2") - F.col("o"))).where(F.col("jaccard") >= t)
+    near = _met(seen, full.select("k", "v"), _full_judge(t), ("jaccard double",)).select("k1", "k2", "jaccard")
+    one, two = (full.select(F.col("k").alias(f"k{i}"), F.col("doc_id").alias(f"d{i}")) for i in (1, 2))
+    near = near.join(one, "k1").join(two, "k2")
     first, second = (f(F.struct(F.col("d1").alias("doc_id"), F.col("k1").alias("k")), F.struct(F.col("d2").alias("doc_id"), F.col("k2").alias("k"))) for f in (F.least, F.greatest))
     near = near.select(first.alias("u"), second.alias("v"), "jaccard").select(F.col("u.k").alias("k_a"), F.col("u.doc_id").alias("a"), F.col("v.k").alias("k_b"), F.col("v.doc_id").alias("b"), "jaccard")
-    return copies.unionByName(near)
+    return copies_of.unionByName(near)
 
 
 def jaccard_pairs(docs: DataFrame, **how) -> DataFrame:
