@@ -80,41 +80,42 @@ def budget(leaves: DataFrame, percent: int = BUDGET_PERCENT, max_epochs: int = M
 
 
 def _leafed(docs: DataFrame) -> DataFrame:
-    """docs with the columns __domain, __lang, __source and __t, and __id for its place in an epoch."""
-    return docs.withColumns({"__domain": domain_of(F.col("source")), "__lang": F.coalesce("lang", F.lit(NONE)), "__source": F.coalesce("source", F.lit(NONE)), "__t": n_tokens(F.col("text")), "__id": F.coalesce(F.col("doc_id").cast("string"), F.lit(NONE))})
+    """(row, domain, lang, source, t, id): docs' rows as structs, their leaves and tokens, and id for the place in an epoch."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("row"), domain_of(F.col("source")).alias("domain"), F.coalesce("lang", F.lit(NONE)).alias("lang"), F.coalesce("source", F.lit(NONE)).alias("source"), n_tokens(F.col("text")).alias("t"), F.coalesce(F.col("doc_id").cast("string"), F.lit(NONE)).alias("id")).where("t > 0")
 
 
 def _place(epoch):
-    return F.md5(F.concat_ws(":", F.lit(str(SEED)), epoch.cast("string"), F.col("__id")))
+    return F.md5(F.concat_ws(":", F.lit(str(SEED)), epoch.cast("string"), F.col("id")))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """A row per document and epoch that reads it: docs' columns, __epoch, __t (its tokens), __take (tokens read).
+    """(row, domain, epoch, t, take): a row per document and epoch that reads it; row: docs' columns, t: its tokens, take: those read.
 
-    __take is less than __t for the one document of a leaf where its prefix ends. Null lang and source are
+    take is less than t for the one document of a leaf where its prefix ends. Null lang and source are
     leaves named (none). Texts without a token (null, empty) are never read. Repeated rows count and are
-    read as often as they are there; their order among themselves makes no difference. An empty table gives
-    an empty one.
+    read as often as they are there; their order among themselves makes no difference. Columns that docs has
+    besides are passed on in row, whatever their names. An empty table gives an empty one.
     """
-    own = ["__domain", "__lang", "__source"]
-    narrow = written(_leafed(docs.select("doc_id", "text", "lang", "source")).where("__t > 0").select(*own, "__t", "__id"))
-    leaves = narrow.groupBy(*own).agg(F.sum("__t").alias("tokens")).select(F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source"), "tokens")
-    plan = budget(leaves, **how).select(F.col("domain").alias("__domain"), F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.expr("alloc div tokens").alias("__full"), F.expr("alloc % tokens").alias("__rest"))
+    own = list(LEVELS)
+    narrow = written(_leafed(docs.select("doc_id", "text", "lang", "source")).select(*own, "t", "id"))
+    leaves = narrow.groupBy(*own).agg(F.sum("t").alias("tokens"))
+    plan = budget(leaves, **how).select(*own, F.expr("alloc div tokens").alias("full"), F.expr("alloc % tokens").alias("rest"))
     plan = written(plan)
     # the bucket of places in which each leaf's prefix ends, and the tokens before it
-    bucket = F.substring(_place(F.col("__full") + 1), 1, DIGITS)
-    sums = narrow.join(plan, own).where("__rest > 0").groupBy(*own, "__rest", bucket.alias("__b")).agg(F.sum("__t").alias("t"))
-    before = Window.partitionBy(*own).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    ends = sums.withColumn("__before", F.coalesce(F.sum("t").over(before), F.lit(0))).where("__before < __rest and __before + t >= __rest").select(*own, F.col("__b").alias("__end"), "__before")
+    bucket = F.substring(_place(F.col("full") + 1), 1, DIGITS)
+    sums = narrow.join(plan, own).where("rest > 0").groupBy(*own, "rest", bucket.alias("b")).agg(F.sum("t").alias("t"))
+    before = Window.partitionBy(*own).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = sums.withColumn("before", F.coalesce(F.sum("t").over(before), F.lit(0))).where("before < rest and before + t >= rest").select(*own, F.col("b").alias("end"), "before")
     plan = written(plan.join(ends, own, "left"))
-    rows = _leafed(docs).where("__t > 0").join(plan, own)
-    whole = rows.where("__full > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__full")))).withColumn("__take", F.col("__t"))
-    last = rows.where("__rest > 0").withColumn("__epoch", F.col("__full") + 1).withColumn("__place", _place(F.col("__full") + 1)).withColumn("__b", F.substring("__place", 1, DIGITS))
-    inside = last.where(F.col("__b") < F.col("__end")).withColumn("__take", F.col("__t"))
-    edge = last.where(F.col("__b") == F.col("__end"))
-    start = Window.partitionBy(*own).orderBy("__place", "__t").rowsBetween(Window.unboundedPreceding, -1)
-    edge = edge.withColumn("__left", F.col("__rest") - F.col("__before") - F.coalesce(F.sum("__t").over(start), F.lit(0))).where("__left > 0").withColumn("__take", F.least("__t", "__left"))
-    keep = [*docs.columns, "__domain", "__epoch", "__t", "__take"]
+    rows = _leafed(docs).join(plan, own)
+    keep = ["row", "domain", "epoch", "t", "take"]
+    whole = rows.where("full > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("full")))).withColumn("take", F.col("t"))
+    last = rows.where("rest > 0").withColumn("epoch", F.col("full") + 1).withColumn("place", _place(F.col("full") + 1)).withColumn("b", F.substring("place", 1, DIGITS))
+    inside = last.where(F.col("b") < F.col("end")).withColumn("take", F.col("t"))
+    edge = last.where(F.col("b") == F.col("end"))
+    start = Window.partitionBy(*own).orderBy("place", "t").rowsBetween(Window.unboundedPreceding, -1)
+    edge = edge.withColumn("left", F.col("rest") - F.col("before") - F.coalesce(F.sum("t").over(start), F.lit(0))).where("left > 0").withColumn("take", F.least("t", "left"))
     return whole.select(*keep).unionByName(inside.select(*keep)).unionByName(edge.select(*keep))
 
 
@@ -123,19 +124,18 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
     A cut text has its tokens joined by blanks, and n_chars, if docs has it, is its length.
     """
-    cut = F.expr("__take < __t")
-    tokens = F.expr("array_join(slice(regexp_extract_all(text, '[^ \\\\t\\\\n\\\\r]+', 0), 1, cast(__take as int)), ' ')")
-    out = mixed(docs, **how).withColumn("text", F.when(cut, tokens).otherwise(F.col("text")))
+    cut = F.expr("take < t")
+    text = F.when(cut, F.expr("array_join(slice(regexp_extract_all(row.text, '[^ \\\\t\\\\n\\\\r]+', 0), 1, cast(take as int)), ' ')")).otherwise(F.col("row.text"))
+    changed = {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(cut, F.length(text)).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return mixed(docs, **how).select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, domain, lang, source, epoch, n_tokens, take_tokens): what the mixture reads of each document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    rows = mixed(docs)
-    return rows.select("doc_id", F.col("__domain").alias("domain"), "lang", "source", F.col("__epoch").alias("epoch"), F.col("__t").alias("n_tokens"), F.col("__take").alias("take_tokens"))
+    return mixed(docs).select("row.doc_id", "domain", "row.lang", "row.source", "epoch", F.col("t").alias("n_tokens"), F.col("take").alias("take_tokens"))
 
 
 def _cases(column: str, weights: dict, rest: int) -> str:

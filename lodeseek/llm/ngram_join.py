@@ -412,9 +412,11 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     Of rows that are the same in id and text one stays, if they have any n-gram. Texts without a word stay as they are.
     """
     found = written(links(docs, **how).select(F.struct(F.col("a").alias("doc_id"), F.col("k_a").alias("k")).alias("v"), F.struct(F.col("b").alias("doc_id"), F.col("k_b").alias("k")).alias("u")))
-    goes = components(found).select(F.col("k.doc_id").alias("__gone_id"), F.col("k.k").alias("__gone"))
-    kept = docs.withColumn("__own", row_key(docs)).join(goes, (F.col("__own") == F.col("__gone")) & F.col("doc_id").eqNullSafe(F.col("__gone_id")), "left_anti")
-    return kept.drop("__own")
+    goes = components(found).select(F.col("k.doc_id").alias("gone_id"), F.col("k.k").alias("gone"))
+    # docs' columns go through as a struct: their names may be any
+    rows = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"), row_key(docs).alias("own"), F.col("doc_id").alias("id"))
+    kept = rows.join(goes, (F.col("own") == F.col("gone")) & F.col("id").eqNullSafe(F.col("gone_id")), "left_anti")
+    return kept.select("row.*")
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

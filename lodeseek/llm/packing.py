@@ -89,17 +89,18 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, tokens
     groups = max(1, -(-items.count() // group))
     rest = F.col("t") % capacity
     whole = items.where(f"t >= {capacity}").select("doc_id", "h", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"t div {capacity} - 1"))).alias("i"))
-    # bins of one piece are named by group as the others, with odd numbers made from document, row and piece
-    small = items.where(rest > 0).select(F.pmod("h", F.lit(groups)).alias("g"), "doc_id", "h", (F.col("t") - rest).alias("start"), rest.cast("int").alias("n"))
+    # a null id goes as 0 with a mark: as a number beside nulls it would lose digits in pandas
+    small = items.where(rest > 0).select(F.pmod("h", F.lit(groups)).alias("g"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "h", (F.col("t") - rest).alias("start"), rest.cast("int").alias("n"))
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "doc_id", "h", "start"], na_position="first", kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["n", "none", "doc_id", "h", "start"], kind="stable").reset_index(drop=True)
         found = pack(pdf["n"].tolist(), capacity)
         order = np.fromiter((i for b in found for i in b), np.int64, len(pdf))
         sizes = np.fromiter((len(b) for b in found), np.int64, len(found))
         out = pdf.iloc[order]
         ends = np.cumsum(sizes)
-        return pd.DataFrame({"doc_id": out["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None) if out["doc_id"].isna().any() else out["doc_id"].to_numpy(), "bin": [f"{key[0]}-{i}" for i in np.repeat(np.arange(len(found)), sizes)], "slot": (np.arange(len(out)) - np.repeat(ends - sizes, sizes)).astype(np.int32), "start": out["start"].to_numpy(), "n_tokens": out["n"].to_numpy().astype(np.int32)})
+        ids = pd.arrays.IntegerArray(out["doc_id"].to_numpy(np.int64), out["none"].to_numpy(bool))
+        return pd.DataFrame({"doc_id": ids, "bin": [f"{key[0]}-{i}" for i in np.repeat(np.arange(len(found)), sizes)], "slot": (np.arange(len(out)) - np.repeat(ends - sizes, sizes)).astype(np.int32), "start": out["start"].to_numpy(), "n_tokens": out["n"].to_numpy().astype(np.int32)})
 
     shared = small.groupBy("g").applyInPandas(one, "doc_id long, bin string, slot int, start long, n_tokens int")
     copy = F.row_number().over(_copies())
