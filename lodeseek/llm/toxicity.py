@@ -48,7 +48,8 @@ INTENTS = "will would shall gonna going want should werde wird will vais va veux
 
 CLASSES = ("other", "insult", "learned", "threat", "target", "negation", "report", "intent")
 _WORDS = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
-_CLAUSE = re.compile(r"[.!?;:\n]+")
+#: A colon ends no clause: what is reported stands after it.
+_CLAUSE = re.compile(r"[.!?;\n]+")
 
 
 @dataclass
