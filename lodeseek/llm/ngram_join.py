@@ -319,16 +319,19 @@ def boundary(costs: list[tuple[int, int, float]], c: int = C) -> int:
     return x
 
 
-def links(docs: DataFrame, n: int = N, t: float = T, c: int = C, sketch_t: float = SKETCH_T, m: int = M, top: int = TOP) -> DataFrame:
+def signatures(docs: DataFrame, n: int = N, m: int = M, top: int = TOP) -> DataFrame:
+    """(doc_id, k, n, m, f1, f2, own, next) of each row with an n-gram: its key, the size, block and prints of its set, and the drawn ones."""
+    return written(docs.select("doc_id", row_key(docs).alias("k"), _signature_udf(n, m, top)("text").alias("s")).where("s.n > 0").select("doc_id", "k", "s.*"))
+
+
+def links(docs: DataFrame, n: int = N, t: float = T, c: int = C, sketch_t: float = SKETCH_T, m: int = M, top: int = TOP, sig: DataFrame | None = None) -> DataFrame:
     """(k_a, a, k_b, b, jaccard): links between rows, by row_key and doc_id; (a, k_a) is less than (b, k_b).
 
     Equal sets are linked to the least of their documents only; all others with each partner. Rows that are
     the same in id and text are one. A null or empty text, or one without any word, has no n-gram and no link.
-    A null doc_id sorts first, as in Spark.
+    A null doc_id sorts first, as in Spark. sig: signatures(docs), if there already.
     """
-    spark = docs.sparkSession
-    sig = docs.select("doc_id", row_key(docs).alias("k"), _signature_udf(n, m, top)("text").alias("s")).where("s.n > 0")
-    sig = written(sig.select("doc_id", "k", "s.*"))
+    sig = signatures(docs, n, m, top) if sig is None else sig
     sets = sig.groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "k")).alias("r"), F.max(F.struct("doc_id", "k")).alias("z"))
     copies_of = sets.where("r < z").drop("z").join(sig, ["n", "f1", "f2"]).where("k != r.k").select(F.col("r.k").alias("k_a"), F.col("r.doc_id").alias("a"), F.col("k").alias("k_b"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard")).distinct()
     # one row of each set, with its drawn elements: copies go by their keys, so that only here the sets move
@@ -409,14 +412,18 @@ def components(edges: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """docs without all but one row of each group of linked rows: the one of the least (doc_id, row_key) stays.
 
-    Of rows that are the same in id and text one stays, if they have any n-gram. Texts without a word stay as they are.
+    Of rows that are the same in id and text one stays, if they have any n-gram: any one, should they differ in other
+    columns. Texts without a word stay as they are.
     """
-    found = written(links(docs, **how).select(F.struct(F.col("a").alias("doc_id"), F.col("k_a").alias("k")).alias("v"), F.struct(F.col("b").alias("doc_id"), F.col("k_b").alias("k")).alias("u")))
+    sig = signatures(docs, **{x: how[x] for x in ("n", "m", "top") if x in how})
+    found = written(links(docs, **how, sig=sig).select(F.struct(F.col("a").alias("doc_id"), F.col("k_a").alias("k")).alias("v"), F.struct(F.col("b").alias("doc_id"), F.col("k_b").alias("k")).alias("u")))
     goes = components(found).select(F.col("k.doc_id").alias("gone_id"), F.col("k.k").alias("gone"))
+    again = written(sig.groupBy("k").count().where("count > 1").select(F.col("k").alias("again")))
     # docs' columns go through as a struct: their names may be any
     rows = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"), row_key(docs).alias("own"), F.col("doc_id").alias("id"))
-    kept = rows.join(goes, (F.col("own") == F.col("gone")) & F.col("id").eqNullSafe(F.col("gone_id")), "left_anti")
-    return kept.select("row.*")
+    same = F.col("own") == F.col("again")
+    rows = rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates(["own"]))
+    return rows.join(goes, (F.col("own") == F.col("gone")) & F.col("id").eqNullSafe(F.col("gone_id")), "left_anti").select("row.*")
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SCHEMA, rows_of
+from llm_helpers import SCHEMA, rows_of
 from lodeseek.llm import cotraining, quality_rules, textfeat
 
 HELD = os.environ.get("HELD_DIR", "/root/testdata/sf0.01")

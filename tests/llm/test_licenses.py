@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from conftest import messy_rows, rows_of
+from llm_helpers import messy_rows, rows_of
 from lodeseek.llm import license_scan as ls
 
 RULES = ls.compiled()

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SCHEMA, messy_rows, prose, rows_of
+from llm_helpers import SCHEMA, messy_rows, prose, rows_of
 from lodeseek.llm import mixing
 
 

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from conftest import SCHEMA, messy_rows, rows_of
+from llm_helpers import SCHEMA, messy_rows, rows_of
 from lodeseek.llm import packing
 
 

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import messy_rows, rows_of
+from llm_helpers import messy_rows, rows_of
 from lodeseek.llm import toxicity as tx
 
 HELD = os.environ.get("HELD_DIR", "/root/testdata/sf0.01")
