@@ -267,7 +267,8 @@ class Store:
         self.files = Files(self.spark, self.path)
         self._lock = threading.Lock()
         self._calls: list[tuple] = []
-        self.files.write_new("versions/00000000.json", json.dumps({"number": 0, "logs": [], "buckets": {}}))
+        if not self.versions():
+            self.files.write_new("versions/00000000.json", json.dumps({"number": 0, "logs": [], "buckets": {}}))
 
     def versions(self) -> list[int]:
         return [int(n[:-5]) for n in self.files.names("versions") if n.endswith(".json") and n[:-5].isdigit()]
@@ -280,12 +281,7 @@ class Store:
         logs = self._meta(number)["logs"]
         if not logs:
             return self.spark.createDataFrame([], SCHEMA)
-        # seq counts within a version's folder; folders are numbered by version
-        parts = None
-        for n, name in enumerate(logs):
-            own = self.spark.read.schema(_LOG).parquet(f"{self.path}/log/{name}").withColumn("seq", F.col("seq") + F.lit(n << 40))
-            parts = own if parts is None else parts.unionByName(own)
-        return latest(parts)
+        return latest(self.spark.read.schema(_LOG).parquet(*[f"{self.path}/log/{name}" for name in logs]))
 
     def begin(self, writable: bool = False) -> Transaction:
         """A writer waits for the one before it; readers never wait, and see the version that they began on."""
@@ -301,12 +297,12 @@ class Store:
 
     def _commit(self, tx: Transaction) -> int:
         meta = self._meta(tx.version)
-        logs = list(meta["logs"])
+        logs, number = list(meta["logs"]), tx.version + 1
         if tx.entries:
             name = uuid.uuid4().hex
-            tx._pending().write.parquet(f"{self.path}/log/{name}")
+            # entries of later versions count after all of earlier ones
+            tx._pending().withColumn("seq", F.col("seq") + F.lit(number << 40)).write.parquet(f"{self.path}/log/{name}")
             logs.append(name)
-        number = tx.version + 1
         if not self.files.write_new(f"versions/{number:08d}.json", json.dumps({"number": number, "logs": logs, "buckets": tx.buckets})):
             raise KeyValueError(f"version {number} is there already: another process writes")
         return number
@@ -349,9 +345,8 @@ class Store:
         """One log of live pairs in the place of all; older versions keep theirs."""
         with self._lock:
             meta = self._meta()
-            name = uuid.uuid4().hex
-            self.view().withColumns({"deleted": F.lit(False), "seq": F.lit(0).cast("bigint")}).select("bucket", "key", "value", "deleted", "seq").repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key").write.parquet(f"{self.path}/log/{name}")
-            number = meta["number"] + 1
+            name, number = uuid.uuid4().hex, meta["number"] + 1
+            self.view().withColumns({"deleted": F.lit(False), "seq": F.lit(number << 40)}).select("bucket", "key", "value", "deleted", "seq").repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key").write.parquet(f"{self.path}/log/{name}")
             if not self.files.write_new(f"versions/{number:08d}.json", json.dumps({"number": number, "logs": [name], "buckets": meta["buckets"]})):
                 raise KeyValueError(f"version {number} is there already: another process writes")
         return number
@@ -361,7 +356,7 @@ class Store:
         meta = self._meta(number)
         for name in meta["logs"]:
             self.files.copy(f"log/{name}", f"{to}/log/{name}")
-        Files(self.spark, to).write_new("versions/00000000.json", json.dumps(meta | {"number": 0}))
+        Files(self.spark, to).write_new(f"versions/{meta['number']:08d}.json", json.dumps(meta))
 
     def describe(self) -> str:
         """Buckets and their pairs, and what is wrong with them, in words."""

@@ -16,6 +16,7 @@ def shard_of(key: Column, shards: int) -> Column:
 def records(docs: DataFrame, shards: int, key: str | None = None, order_by: str | None = None, start: dict[int, int] | None = None) -> DataFrame:
     """(shard, offset, body) of documents as JSON objects: offsets of a shard are dense and start where it ended.
 
+    A shard is numbered by one task, so a load runs on as many tasks as there are shards.
     Without a numeric key, documents go to shards by a hash of their contents, the same way each time.
     """
     body = F.to_json(F.struct(*docs.columns))
