@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeseek.functions.analysis import terms
@@ -151,6 +151,14 @@ def query_parameters(spark, d):
     return ids(search.hits(events(spark, d), EVENTS, request), "event_id", False)
 
 
+@query("select doc_id from documents where doc_id % 4 = 2 and lang = 'de'")
+def search_shard(spark, d):
+    """Only one shard of four, as the request forces it."""
+    request = parse({"ps": "10", "pg": "1", "_force": "1", "_shard": "2", "lang": "de"}, DOCS)
+    df = docs(spark, d).withColumn("_shard", shardlog.shard_of(F.col("doc_id"), 4))
+    return ids(search.hits(df, DOCS, request), weight=False)
+
+
 # -- filters
 
 
@@ -210,6 +218,25 @@ def term_freq(spark, d):
     return postings.term_frequencies(docs(spark, d), "doc_id", "text").withColumnRenamed("_docid", "doc_id")
 
 
+@query(f"with {_TOK}, {_TERMS} select doc_id, term, cast(floor(tf / n::double * 10000) as bigint) as weight from terms")
+def tf_weight(spark, d):
+    found = postings.term_frequencies(docs(spark, d), "doc_id", "text")
+    return found.select(F.col("_docid").alias("doc_id"), "term", postings.tf_weight(F.col("tf"), F.col("n")).alias("weight"))
+
+
+@query(f"with {_TOK} select doc_id, {_w('the')} as weight from tok where list_contains(t, 'the') order by doc_id limit 1 offset 5")
+def posting_nth(spark, d):
+    lists = postings.posting_lists(postings.field_postings(docs(spark, d), "doc_id", "text", FieldType.STRING_SEG))
+    return postings.nth(lists, "the", 5).select(F.col("_docid").alias("doc_id"), "weight")
+
+
+@query("select source as term, count(*) as df, lead(source) over (order by source) as following from documents group by source")
+def dictionary_terms(spark, d):
+    """The terms of a facet field in order, each with the one after it: such fields have few terms."""
+    found = postings.doc_frequencies(postings.field_postings(docs(spark, d), "doc_id", "source", FieldType.STRING))
+    return found.select("term", "df", F.lead("term").over(Window.partitionBy("field").orderBy("term")).alias("following"))
+
+
 @query(f"with {_TOK}, {_TERMS} select 'text' as field, term, count(*) as df from terms group by term")
 def doc_freq(spark, d):
     return postings.doc_frequencies(postings.field_postings(docs(spark, d), "doc_id", "text", FieldType.STRING_SEG))
