@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import n_tokens, table, written
+from lodeseek.llm.common import TOKEN, n_tokens, table, written
 
 LEVELS = ("domain", "lang", "source")
 DOMAINS = {"web": 40, "reference": 25, "forum": 15, "books": 20, "other": 5}
@@ -79,44 +79,61 @@ def budget(leaves: DataFrame, percent: int = BUDGET_PERCENT, max_epochs: int = M
     return n.select(*LEVELS, "tokens", F.col("given").alias("alloc"))
 
 
-def _leafed(docs: DataFrame) -> DataFrame:
-    """(row, domain, lang, source, t, id): docs' rows as structs, their leaves and tokens, and id for the place in an epoch."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return docs.select(row.alias("row"), domain_of(F.col("source")).alias("domain"), F.coalesce("lang", F.lit(NONE)).alias("lang"), F.coalesce("source", F.lit(NONE)).alias("source"), n_tokens(F.col("text")).alias("t"), F.coalesce(F.col("doc_id").cast("string"), F.lit(NONE)).alias("id")).where("t > 0")
+def _leafed(docs: DataFrame, *columns: str) -> DataFrame:
+    """(row, domain, lang, source, id): the columns of docs' rows as structs, their leaves, and id for the place in an epoch."""
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    return docs.select(row.alias("row"), domain_of(F.col("source")).alias("domain"), F.coalesce("lang", F.lit(NONE)).alias("lang"), F.coalesce("source", F.lit(NONE)).alias("source"), F.coalesce(F.col("doc_id").cast("string"), F.lit(NONE)).alias("id"), F.col("text"))
+
+
+def _counted(docs: DataFrame, *columns: str) -> DataFrame:
+    """_leafed() of the rows that have a token, with t, their tokens, in place of the text: written, so that they are counted once."""
+    return written(_leafed(docs, *columns).withColumn("t", n_tokens(F.col("text"))).drop("text").where("t > 0"))
 
 
 def _place(epoch):
     return F.md5(F.concat_ws(":", F.lit(str(SEED)), epoch.cast("string"), F.col("id")))
 
 
+def _planned(counted: DataFrame, **how) -> DataFrame:
+    """(leaf, full, rest, end, before): whole epochs of each leaf, the tokens of its last one, and where that ends: in the bucket end of places, before which are before tokens."""
+    own = list(LEVELS)
+    plan = budget(counted.groupBy(*own).agg(F.sum("t").alias("tokens")), **how)
+    plan = written(plan.select(*own, F.expr("alloc div tokens").alias("full"), F.expr("alloc % tokens").alias("rest")))
+    bucket = F.substring(_place(F.col("full") + 1), 1, DIGITS)
+    sums = counted.join(plan, own).where("rest > 0").groupBy(*own, "rest", bucket.alias("b")).agg(F.sum("t").alias("t"))
+    before = Window.partitionBy(*own).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = sums.withColumn("before", F.coalesce(F.sum("t").over(before), F.lit(0))).where("before < rest and before + t >= rest").select(*own, F.col("b").alias("end"), "before")
+    return written(plan.join(ends, own, "left"))
+
+
+def _reads(rows: DataFrame, plan: DataFrame, tokens) -> tuple[DataFrame, DataFrame]:
+    """What is read whole (a row for each epoch), and the rows of the buckets in which prefixes end, with t and take.
+
+    Only the latter meet in one place: a bucket is one of 16**DIGITS of a leaf.
+    """
+    own = list(LEVELS)
+    at = rows.join(plan, own).withColumn("place", F.when(F.col("rest") > 0, _place(F.col("full") + 1)))
+    b = F.substring("place", 1, DIGITS)
+    n = F.col("full") + F.when(b < F.col("end"), 1).otherwise(0)
+    whole = at.withColumn("n", n).where("n > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    edge = at.where(b == F.col("end")).withColumn("t", tokens)
+    start = Window.partitionBy(*own).orderBy("place", "t").rowsBetween(Window.unboundedPreceding, -1)
+    edge = edge.withColumn("left", F.col("rest") - F.col("before") - F.coalesce(F.sum("t").over(start), F.lit(0))).where("left > 0").withColumn("take", F.least("t", "left"))
+    return whole, edge.withColumn("epoch", F.col("full") + 1)
+
+
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """(row, domain, epoch, t, take): a row per document and epoch that reads it; row: docs' columns, t: its tokens, take: those read.
+    """(row, domain, epoch, t, take): a row per document and epoch that reads it; row: docs' columns but the text, t: its tokens, take: those read.
 
     take is less than t for the one document of a leaf where its prefix ends. Null lang and source are
     leaves named (none). Texts without a token (null, empty) are never read. Repeated rows count and are
     read as often as they are there; their order among themselves makes no difference. Columns that docs has
     besides are passed on in row, whatever their names. An empty table gives an empty one.
     """
-    own = list(LEVELS)
-    narrow = written(_leafed(docs.select("doc_id", "text", "lang", "source")).select(*own, "t", "id"))
-    leaves = narrow.groupBy(*own).agg(F.sum("t").alias("tokens"))
-    plan = budget(leaves, **how).select(*own, F.expr("alloc div tokens").alias("full"), F.expr("alloc % tokens").alias("rest"))
-    plan = written(plan)
-    # the bucket of places in which each leaf's prefix ends, and the tokens before it
-    bucket = F.substring(_place(F.col("full") + 1), 1, DIGITS)
-    sums = narrow.join(plan, own).where("rest > 0").groupBy(*own, "rest", bucket.alias("b")).agg(F.sum("t").alias("t"))
-    before = Window.partitionBy(*own).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    ends = sums.withColumn("before", F.coalesce(F.sum("t").over(before), F.lit(0))).where("before < rest and before + t >= rest").select(*own, F.col("b").alias("end"), "before")
-    plan = written(plan.join(ends, own, "left"))
-    rows = _leafed(docs).join(plan, own)
+    counted = _counted(docs, *[c for c in docs.columns if c != "text"])
+    whole, edge = _reads(counted, _planned(counted, **how), F.col("t"))
     keep = ["row", "domain", "epoch", "t", "take"]
-    whole = rows.where("full > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("full")))).withColumn("take", F.col("t"))
-    last = rows.where("rest > 0").withColumn("epoch", F.col("full") + 1).withColumn("place", _place(F.col("full") + 1)).withColumn("b", F.substring("place", 1, DIGITS))
-    inside = last.where(F.col("b") < F.col("end")).withColumn("take", F.col("t"))
-    edge = last.where(F.col("b") == F.col("end"))
-    start = Window.partitionBy(*own).orderBy("place", "t").rowsBetween(Window.unboundedPreceding, -1)
-    edge = edge.withColumn("left", F.col("rest") - F.col("before") - F.coalesce(F.sum("t").over(start), F.lit(0))).where("left > 0").withColumn("take", F.least("t", "left"))
-    return whole.select(*keep).unionByName(inside.select(*keep)).unionByName(edge.select(*keep))
+    return whole.withColumn("take", F.col("t")).select(*keep).unionByName(edge.select(*keep))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
@@ -124,12 +141,16 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
     A cut text has its tokens joined by blanks, and n_chars, if docs has it, is its length.
     """
+    plan = _planned(_counted(docs, "doc_id"), **how)
+    rows = _leafed(docs, *docs.columns).where(F.col("text").rlike(TOKEN))
+    whole, edge = _reads(rows, plan, n_tokens(F.col("text")))
     cut = F.expr("take < t")
-    text = F.when(cut, F.expr("array_join(slice(regexp_extract_all(row.text, '[^ \\\\t\\\\n\\\\r]+', 0), 1, cast(take as int)), ' ')")).otherwise(F.col("row.text"))
+    text = F.when(cut, F.expr("array_join(slice(regexp_extract_all(text, '[^ \\\\t\\\\n\\\\r]+', 0), 1, cast(take as int)), ' ')")).otherwise(F.col("text"))
     changed = {"text": text}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(cut, F.length(text)).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
-    return mixed(docs, **how).select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    own = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    return whole.select(*[own[c].alias(c) for c in docs.columns]).unionByName(edge.select(*[changed.get(c, own[c]).alias(c) for c in docs.columns]))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
