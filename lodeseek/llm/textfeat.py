@@ -15,6 +15,8 @@ import pyarrow as pa
 BITS = 18
 #: Bytes of text hashed at once; bounds the worker's memory whatever the batch or text size.
 CHUNK = 1 << 20
+#: Values of sparse rows worked on at once in training; bounds the driver's memory.
+BLOCK = 1 << 20
 CHAR_NS = (3, 5)
 FAMILIES = ("char3", "char5", "word1", "word2")
 #: A feature's value is SCALE * count / (the document's n-grams of the family + DAMP): DAMP keeps a few words from saying much.
@@ -54,11 +56,11 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), off
 
 
-def chunks(off: np.ndarray):
-    """Runs of rows of at most CHUNK bytes (a longer text is a run by itself)."""
-    i, n = 0, len(off) - 1
+def chunks(off: np.ndarray, size: int | None = None):
+    """Runs of rows of at most size bytes, CHUNK by default (a longer text is a run by itself)."""
+    i, n, size = 0, len(off) - 1, CHUNK if size is None else size
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + CHUNK, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
         yield i, min(j, n)
         i = j
 
@@ -151,14 +153,34 @@ class Rows:
         at = np.repeat(self.start[rows] - start[:-1], size) + np.arange(start[-1])
         return Rows(self.slot[at], self.value[at], start)
 
+    def blocks(self):
+        """Runs of rows (a, b) of at most BLOCK values (a longer row is a run by itself)."""
+        a, n = 0, len(self.start) - 1
+        while a < n:
+            b = min(n, max(a + 1, int(np.searchsorted(self.start, self.start[a] + BLOCK, "right")) - 1))
+            yield a, b
+            a = b
+
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return _row_sums(w[self.slot] * self.value, self.start[:-1], self.start[1:])
+        out = np.empty(len(self.start) - 1)
+        for a, b in self.blocks():
+            i, j = self.start[a], self.start[b]
+            out[a:b] = _row_sums(w[self.slot[i:j]] * self.value[i:j], self.start[a:b] - i, self.start[a + 1 : b + 1] - i)
+        return out
+
+    def weighted(self, g: np.ndarray, dim: int) -> np.ndarray:
+        """The sum of all rows, each times its g."""
+        out = np.zeros(dim)
+        for a, b in self.blocks():
+            i, j = self.start[a], self.start[b]
+            out += np.bincount(self.slot[i:j], weights=np.repeat(g[a:b], np.diff(self.start[a : b + 1])) * self.value[i:j], minlength=dim)
+        return out
 
 
 def features(texts: pa.Array) -> Rows:
     data, off = buffers(texts)
     slots, values, sizes = [], [], []
-    for i, j in chunks(off):
+    for i, j in chunks(off, CHUNK // 4):
         part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
         keys, vals, rows = [], [], []
         for f, (_, s, a, b) in enumerate(hashed(part, o)):
@@ -177,7 +199,10 @@ def features(texts: pa.Array) -> Rows:
         sizes.append(np.bincount(row, minlength=j - i))
     if not slots:
         return Rows(np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(1, np.int64))
-    return Rows(np.concatenate(slots), np.concatenate(values), np.concatenate(([0], np.cumsum(np.concatenate(sizes)))))
+    # one after the other, so that only one of them is there twice
+    slot = np.concatenate(slots)
+    slots.clear()
+    return Rows(slot, np.concatenate(values), np.concatenate(([0], np.cumsum(np.concatenate(sizes)))))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -189,10 +214,9 @@ def fit_logistic(x: Rows, y: np.ndarray, dim: int, steps: int = 60, rate: float
     w, bias = (np.zeros(dim), 0.0) if start is None else (start[0].copy(), start[1])
     m, v, mb, vb = np.zeros(dim), np.zeros(dim), 0.0, 0.0
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
-    row = np.repeat(np.arange(len(y)), np.diff(x.start))
     for t in range(1, steps + 1):
         g = (sigmoid(x.dot(w) + bias) - y) * weight
-        gw = np.bincount(x.slot, weights=g[row] * x.value, minlength=dim) + l2 * w
+        gw = x.weighted(g, dim) + l2 * w
         gb = g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
