@@ -34,6 +34,10 @@ N, T = 3, 0.5
 C, SKETCH_T, M, TOP = 2, 0.3, 16, 4
 #: Sets are of one of 2**BLOCK_BITS blocks by their min-hash, in which copies mostly agree.
 BLOCK_BITS = 20
+#: Keys (one number each) are sent to all executors up to so many, some 80 MB; more of them are joined by a shuffle.
+FEW = 2_000_000
+#: Pairs of a cell that are judged in one place, about; those of larger cells are split up.
+CELL = 200_000
 #: Elements of sets that are intersected at once.
 AT_ONCE = 1 << 20
 #: Shuffled rows of a subset and of a posting cost about the same; a scanned list element costs this much of one.
@@ -207,13 +211,17 @@ def _met(pairs: DataFrame, sets: DataFrame, judge, more: tuple[str, ...] = ()) -
     """pairs (k1, k2, c1, c2) that judge lets pass, with the columns more that it finds.
 
     sets: (k, v binary). Each set goes once to each cell (c1, c2) that has it in a pair: a cell is made of the
-    blocks of both, and copies share a block, so a group of n of them moves n sets, not one for each of its pairs.
+    blocks of both, and copies share a block, so a group of n of them moves n sets, not one for each of its pairs. Cells of
+    very many pairs are split by k1.
     judge(x, y): values of both sets of some pairs -> (what stays, columns).
     """
-    wanted = pairs.select("c1", "c2", F.explode(F.array("k1", "k2")).alias("k")).groupBy("k").agg(F.collect_set(F.struct("c1", "c2")).alias("cells"))
+    large = written(pairs.groupBy("c1", "c2").count().where(F.col("count") > CELL).select("c1", "c2", F.ceil(F.col("count") / CELL).cast("int").alias("split")))
+    part = F.coalesce(F.pmod(F.xxhash64("k1"), F.col("split")), F.lit(0)).cast("int")
+    parts = pairs.join(large, ["c1", "c2"], "left").select("c1", "c2", part.alias("c3"), "k1", "k2")
+    wanted = parts.select(F.struct("c1", "c2", "c3").alias("c"), F.explode(F.array("k1", "k2")).alias("k")).groupBy("k").agg(F.collect_set("c").alias("cells"))
     none = F.lit(None)
-    there = wanted.join(sets, "k").select(F.explode("cells").alias("c"), "k", "v").select("c.c1", "c.c2", F.lit(0).alias("tag"), F.col("k").alias("k1"), none.cast("long").alias("k2"), "v")
-    line = there.unionByName(pairs.select("c1", "c2", F.lit(1).alias("tag"), "k1", "k2", none.cast("binary").alias("v")))
+    there = wanted.join(sets, "k").select(F.explode("cells").alias("c"), "k", "v").select("c.*", F.lit(0).alias("tag"), F.col("k").alias("k1"), none.cast("long").alias("k2"), "v")
+    line = there.unionByName(parts.select("c1", "c2", "c3", F.lit(1).alias("tag"), "k1", "k2", none.cast("binary").alias("v")))
     names = ["k1", "k2", "c1", "c2"]
 
     def sweep(batches):
@@ -221,9 +229,9 @@ def _met(pairs: DataFrame, sets: DataFrame, judge, more: tuple[str, ...] = ()) -
         for b in batches:
             x, y, rows = [], [], []
             values = b.column("v")
-            for i, (c1, c2, tag, k1, k2) in enumerate(zip(*(b.column(c).to_pylist() for c in ("c1", "c2", "tag", "k1", "k2")))):
-                if (c1, c2) != at:
-                    at, own = (c1, c2), {}
+            for i, (c1, c2, c3, tag, k1, k2) in enumerate(zip(*(b.column(c).to_pylist() for c in ("c1", "c2", "c3", "tag", "k1", "k2")))):
+                if (c1, c2, c3) != at:
+                    at, own = (c1, c2, c3), {}
                 if not tag:
                     own[k1] = values[i].as_py()
                 else:
@@ -236,7 +244,7 @@ def _met(pairs: DataFrame, sets: DataFrame, judge, more: tuple[str, ...] = ()) -
             take = pa.array(np.asarray(rows, np.int64)[stays])
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in names), *found], [*names, *(c.split()[0] for c in more)])
 
-    return line.repartition("c1", "c2").sortWithinPartitions("c1", "c2", "tag").mapInArrow(sweep, ", ".join(["k1 long", "k2 long", "c1 int", "c2 int", *more]))
+    return line.repartition("c1", "c2", "c3").sortWithinPartitions("c1", "c2", "c3", "tag").mapInArrow(sweep, ", ".join(["k1 long", "k2 long", "c1 int", "c2 int", *more]))
 
 
 def _pack_udf():
@@ -304,6 +312,22 @@ def row_key(df: DataFrame):
     return F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("doc_id").isNull(), F.coalesce(F.col("text"), F.lit("")))
 
 
+def _keys(keys: DataFrame) -> DataFrame:
+    """keys written, and marked for broadcast if they are FEW: then what they pick from, texts above all, stays where it is."""
+    keys = written(keys)
+    return F.broadcast(keys) if keys.count() <= FEW else keys
+
+
+def _once(rows: DataFrame, key: str, again: DataFrame) -> DataFrame:
+    """rows with one row of each key. again: _keys() of the keys that are there more than once, so that only those rows move."""
+    same = F.col(key) == F.col("again")
+    return rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates([key]))
+
+
+def _repeated(sig: DataFrame) -> DataFrame:
+    return _keys(sig.groupBy("k").count().where("count > 1").select(F.col("k").alias("again")))
+
+
 def boundary(costs: list[tuple[int, int, float]], c: int = C) -> int:
     """The size x up to which sets are light, of least estimated cost.
 
@@ -335,8 +359,8 @@ def links(docs: DataFrame, n: int = N, t: float = T, c: int = C, sketch_t: float
     sets = sig.groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "k")).alias("r"), F.max(F.struct("doc_id", "k")).alias("z"))
     copies_of = sets.where("r < z").drop("z").join(sig, ["n", "f1", "f2"]).where("k != r.k").select(F.col("r.k").alias("k_a"), F.col("r.doc_id").alias("a"), F.col("k").alias("k_b"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard")).distinct()
     # one row of each set, with its drawn elements: copies go by their keys, so that only here the sets move
-    gone = copies_of.select(F.col("k_b").alias("k")).distinct()
-    rest = written(sig.select("k", "n", "m", "own", "next").join(gone, "k", "left_anti").dropDuplicates(["k"]))
+    gone = _keys(copies_of.select(F.col("k_b").alias("k")).distinct())
+    rest = written(_once(sig.select("k", "n", "m", "own", "next").join(gone, "k", "left_anti"), "k", _repeated(sig)))
     posts = rest.select("k", F.explode(F.array("own", "next")).alias("e")).where(F.size("e") >= c).select("k", F.size("e").alias("s"), F.explode("e").alias("g"))
     df = posts.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     live = posts.join(df, "g").repartition("k")
@@ -365,7 +389,7 @@ def links(docs: DataFrame, n: int = N, t: float = T, c: int = C, sketch_t: float
     pairs = written(pairs)
     # both drawn sets at the higher of the two levels decide which pairs are looked at in full
     seen = written(_met(pairs, rest.select("k", _pack_udf()("own", "next").alias("v")), _sketch_judge(sketch_t)))
-    wanted = seen.select(F.explode(F.array("k1", "k2")).alias("k")).distinct()
+    wanted = _keys(seen.select(F.explode(F.array("k1", "k2")).alias("k")).distinct())
     full = docs.select("doc_id", row_key(docs).alias("k"), "text").join(wanted, "k", "left_semi").select("k", "doc_id", _full_set_udf(n)("text").alias("v")).groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.max("v").alias("v"))
     full = written(full)
     near = _met(seen, full.select("k", "v"), _full_judge(t), ("jaccard double",)).select("k1", "k2", "jaccard")
@@ -417,13 +441,10 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """
     sig = signatures(docs, **{x: how[x] for x in ("n", "m", "top") if x in how})
     found = written(links(docs, **how, sig=sig).select(F.struct(F.col("a").alias("doc_id"), F.col("k_a").alias("k")).alias("v"), F.struct(F.col("b").alias("doc_id"), F.col("k_b").alias("k")).alias("u")))
-    goes = components(found).select(F.col("k.doc_id").alias("gone_id"), F.col("k.k").alias("gone"))
-    again = written(sig.groupBy("k").count().where("count > 1").select(F.col("k").alias("again")))
+    goes = _keys(components(found).select(F.col("k.k").alias("own")).distinct())
     # docs' columns go through as a struct: their names may be any
-    rows = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"), row_key(docs).alias("own"), F.col("doc_id").alias("id"))
-    same = F.col("own") == F.col("again")
-    rows = rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates(["own"]))
-    return rows.join(goes, (F.col("own") == F.col("gone")) & F.col("id").eqNullSafe(F.col("gone_id")), "left_anti").select("row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"), row_key(docs).alias("own"))
+    return _once(rows.join(goes, "own", "left_anti"), "own", _repeated(sig)).select("row.*")
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

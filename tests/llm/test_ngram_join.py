@@ -82,6 +82,12 @@ def test_light_and_heavy_give_the_same(spark, monkeypatch, x):
     check(rows_of(nj.jaccard_pairs(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))), brute(rows))
 
 
+def test_split_cells_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(nj, "CELL", 2)
+    rows = near_copies(1)
+    check(rows_of(nj.jaccard_pairs(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))), brute(rows))
+
+
 def test_boundary_is_of_least_cost():
     costs = [(2, 100, 50.0), (5, 80, 4000.0), (9, 10, 90.0), (30, 5, 400.0), (40, 3, 10**7)]
 
