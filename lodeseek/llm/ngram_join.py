@@ -348,13 +348,8 @@ def signatures(docs: DataFrame, n: int = N, m: int = M, top: int = TOP) -> DataF
     return written(docs.select("doc_id", row_key(docs).alias("k"), _signature_udf(n, m, top)("text").alias("s")).where("s.n > 0").select("doc_id", "k", "s.*"))
 
 
-def links(docs: DataFrame, n: int = N, t: float = T, c: int = C, sketch_t: float = SKETCH_T, m: int = M, top: int = TOP, sig: DataFrame | None = None) -> DataFrame:
-    """(k_a, a, k_b, b, jaccard): links between rows, by row_key and doc_id; (a, k_a) is less than (b, k_b).
-
-    Equal sets are linked to the least of their documents only; all others with each partner. Rows that are
-    the same in id and text are one. A null or empty text, or one without any word, has no n-gram and no link.
-    A null doc_id sorts first, as in Spark. sig: signatures(docs), if there already.
-    """
+def _copies_and_near(docs: DataFrame, n: int = N, t: float = T, c: int = C, sketch_t: float = SKETCH_T, m: int = M, top: int = TOP, sig: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """links() in two: equal sets, each with the least of their documents, and different sets."""
     sig = signatures(docs, n, m, top) if sig is None else sig
     sets = sig.groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "k")).alias("r"), F.max(F.struct("doc_id", "k")).alias("z"))
     copies_of = sets.where("r < z").drop("z").join(sig, ["n", "f1", "f2"]).where("k != r.k").select(F.col("r.k").alias("k_a"), F.col("r.doc_id").alias("a"), F.col("k").alias("k_b"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard")).distinct()
@@ -397,6 +392,17 @@ def links(docs: DataFrame, n: int = N, t: float = T, c: int = C, sketch_t: float
     near = near.join(one, "k1").join(two, "k2")
     first, second = (f(F.struct(F.col("d1").alias("doc_id"), F.col("k1").alias("k")), F.struct(F.col("d2").alias("doc_id"), F.col("k2").alias("k"))) for f in (F.least, F.greatest))
     near = near.select(first.alias("u"), second.alias("v"), "jaccard").select(F.col("u.k").alias("k_a"), F.col("u.doc_id").alias("a"), F.col("v.k").alias("k_b"), F.col("v.doc_id").alias("b"), "jaccard")
+    return copies_of, near
+
+
+def links(docs: DataFrame, **how) -> DataFrame:
+    """(k_a, a, k_b, b, jaccard): links between rows, by row_key and doc_id; (a, k_a) is less than (b, k_b).
+
+    Equal sets are linked to the least of their documents only; all others with each partner. Rows that are
+    the same in id and text are one. A null or empty text, or one without any word, has no n-gram and no link.
+    A null doc_id sorts first, as in Spark. how: parameters, and sig: signatures(docs), if there already.
+    """
+    copies_of, near = _copies_and_near(docs, **how)
     return copies_of.unionByName(near)
 
 

@@ -1,0 +1,66 @@
+"""All pairs of the n-gram Jaccard self-join, those of copies too.
+
+ngram_join ties equal sets to the least of their documents and joins one document of each set. Here that is
+expanded: all pairs inside each equal set, and each verified pair of sets joined to the members of both.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodeseek.llm.common import table, written
+from lodeseek.llm.ngram_join import _LETTERS, N, T, _copies_and_near, _keys, signatures
+
+#: Members of a set that are paired in one place, about; larger sets are split up.
+PART = 1000
+
+
+def all_pairs(docs: DataFrame, **how) -> DataFrame:
+    """(doc_a, doc_b, jaccard), doc_a < doc_b, of similarity T or more.
+
+    Rows with a null doc_id can't be named: they are left out. Rows that share a doc_id are not paired with each
+    other; of several similarities of two ids the largest counts. The result of n copies has n * (n - 1) / 2 rows.
+    """
+    docs = docs.where("doc_id is not null")
+    sig = signatures(docs, **{x: how[x] for x in ("n", "m", "top") if x in how})
+    copies, near = (written(x) for x in _copies_and_near(docs, **how, sig=sig))
+    own = copies.select(F.col("k_a").alias("root"), F.col("a").alias("id")).unionByName(copies.select(F.col("k_a").alias("root"), F.col("b").alias("id"))).distinct()
+    size = own.groupBy("root").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    members = written(own.join(size, "root"))
+    # the one side of a set is split, the other goes to all parts
+    one = members.select("root", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("a"))
+    two = members.select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("b"))
+    inside = one.join(two, ["root", "part"]).where("a < b").select("a", "b", F.lit(1.0).alias("jaccard"))
+    for k, x in (("k_a", "a"), ("k_b", "b")):
+        near = near.join(own.select(F.col("root").alias(k), F.col("id").alias("member")), k, "left").withColumn(x, F.coalesce("member", x)).drop("member")
+    across = near.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard")
+    found = inside.unionByName(across).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), F.round("jaccard", 4).alias("jaccard"))
+    # only an id of several texts can have a pair twice
+    again = _keys(sig.groupBy(F.col("doc_id").alias("again")).agg(F.min("k").alias("x"), F.max("k").alias("y")).where("x < y").select("again"))
+    for x in ("doc_a", "doc_b"):
+        found = found.join(again.select(F.col("again").alias(f"{x}_again")), F.col(x) == F.col(f"{x}_again"), "left")
+    several = F.coalesce("doc_a_again", "doc_b_again").isNotNull()
+    found = found.select("doc_a", "doc_b", "jaccard", several.alias("several"))
+    names = ["doc_a", "doc_b", "jaccard"]
+    return found.where("not several").select(names).unionByName(found.where("several").groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard")))
+
+
+def op4_ngram_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_pairs(table(spark, sf_dir, "documents"))
+
+
+SQL = rf"""
+with words as (
+  select doc_id, regexp_extract_all(translate(text, {_LETTERS}), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') as w from documents where doc_id is not null and text is not null
+), sets as (
+  select row_number() over () as i, doc_id, list_distinct(case when len(w) < {N} then [array_to_string(w, ' ')]
+    else list_transform(generate_series(1, len(w) - {N} + 1), lambda i: array_to_string(w[i:i + {N} - 1], ' ')) end) as s from words where len(w) > 0
+), posts as (
+  select i, doc_id, len(s) as n, unnest(s) as g from sets
+), near as (
+  select any_value(a.doc_id) as doc_a, any_value(b.doc_id) as doc_b, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) as jaccard
+  from posts a join posts b on a.g = b.g and a.doc_id < b.doc_id group by a.i, b.i
+)
+select doc_a, doc_b, round(max(jaccard), 4) as jaccard from near where jaccard >= {T} group by doc_a, doc_b
+"""

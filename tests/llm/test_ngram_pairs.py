@@ -1,0 +1,48 @@
+import random
+
+import pytest
+
+from llm_helpers import SCHEMA, messy_rows, prose, rows_of
+from lodeseek.llm import ngram_pairs as npairs
+from test_ngram_join import check, grams, near_copies, nj
+
+
+def brute(rows, t=nj.T):
+    """All pairs of ids, each row against each."""
+    own = [(i, g) for i, text, *_ in rows if i is not None and (g := grams(text))]
+    out = {}
+    for x, (i, a) in enumerate(own):
+        for k, b in own[:x]:
+            j = len(a & b) / len(a | b)
+            if i != k and j >= t:
+                p = min(i, k), max(i, k)
+                out[p] = max(out.get(p, 0), round(j, 4))
+    return out
+
+
+def test_copies_are_paired_with_each_other_and_with_all_near_ones(spark):
+    text = prose(random.Random(4), 60)
+    rows = [(i, text, "en", "s", 1) for i in (1, 2, 3)] + [(i, text + " and more", "en", "s", 1) for i in (4, 5)]
+    got = {(r[0], r[1]): r[2] for r in rows_of(npairs.all_pairs(spark.createDataFrame(rows, SCHEMA)))}
+    assert got == pytest.approx(brute(rows), abs=2e-4) and len(got) == 10
+
+
+@pytest.mark.parametrize("part", [npairs.PART, 2])
+def test_groups(spark, monkeypatch, part):
+    monkeypatch.setattr(npairs, "PART", part)
+    rows = near_copies(1)
+    rows += [(1000 + j, rows[j % 7][1], "en", "s", 1) for j in range(30)]
+    found = rows_of(npairs.all_pairs(spark.createDataFrame(rows, SCHEMA)))
+    assert len(found) == len({r[:2] for r in found})
+    check(found, brute(rows))
+
+
+def test_messy(spark, messy, clashing, empty):
+    rows = messy_rows()
+    # an id of several texts, in pairs with one id by both
+    more = [(300, rows[6][1] + " x y", "en", "s", 1), (300, rows[6][1] + " x", "en", "s", 1)]
+    found = rows_of(npairs.all_pairs(messy.unionByName(spark.createDataFrame(more, SCHEMA))))
+    assert len(found) == len({r[:2] for r in found})
+    check(found, brute(rows + more))
+    assert rows_of(npairs.all_pairs(clashing)) == rows_of(npairs.all_pairs(messy))
+    assert npairs.all_pairs(empty).count() == 0
