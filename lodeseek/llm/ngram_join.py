@@ -11,6 +11,8 @@ match. So the join asks for C common elements of those prefixes:
 - light sets (at most x live elements) emit each C-subset of them, and meet where a subset is the same;
 - heavy sets scan the inverted lists of their elements over all sets, and count.
 
+Sets so small that they can be of similarity T with fewer than C common elements are joined by each element.
+
 x is the boundary of least estimated cost. Candidates whose drawn sets are under SKETCH_T are dropped; the
 rest is verified on the complete n-gram sets. Only the drawing can lose a pair (recall is about 0.98 at
 similarity T with the smallest drawn sets, above 0.999 from 0.6 on); whatever is returned is exact.
@@ -343,6 +345,18 @@ def boundary(costs: list[tuple[int, int, float]], c: int = C) -> int:
     return x
 
 
+def _tiny(rest: DataFrame, t: float, c: int) -> DataFrame:
+    """Pairs (a, b) of structs (k, m, n) that can be of similarity t with fewer than c elements in common.
+
+    o common elements allow o * (1 + 1 / t) elements of both sets together, so both are tiny, and drawn as a whole.
+    """
+    both = int((c - 1) * (1 + 1 / t) + 1e-9)
+    posts = rest.where(f"n < {both}").select(F.struct("k", "m", "n").alias("s"), F.explode("own").alias("g"))
+    a, b = posts.where(f"s.n <= {both // 2}").select(F.col("s").alias("a"), "g"), posts.select(F.col("s").alias("b"), "g")
+    met = a.join(b, "g").where(f"a.k != b.k and a.n + b.n <= {both}")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def signatures(docs: DataFrame, n: int = N, m: int = M, top: int = TOP) -> DataFrame:
     """(doc_id, k, n, m, f1, f2, own, next) of each row with an n-gram: its key, the size, block and prints of its set, and the drawn ones."""
     return written(docs.select("doc_id", row_key(docs).alias("k"), _signature_udf(n, m, top)("text").alias("s")).where("s.n > 0").select("doc_id", "k", "s.*"))
@@ -380,7 +394,7 @@ def _copies_and_near(docs: DataFrame, n: int = N, t: float = T, c: int = C, sket
     scanned = heavy.join(every, "g").where("a.k != b.k and (small or a.k < b.k)").where(apart)
     scanned = scanned.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("g & 7").alias("level")).count().where(f"count >= {c}")
     # pairs of the same cell are judged in one place, so that is where they go to be found the same
-    pairs = met.unionByName(_possible(scanned.select("a", "b"), t)).repartition("c1", "c2").dropDuplicates(["c1", "c2", "k1", "k2"])
+    pairs = met.unionByName(_possible(scanned.select("a", "b"), t)).unionByName(_possible(_tiny(rest, t, c), t)).repartition("c1", "c2").dropDuplicates(["c1", "c2", "k1", "k2"])
     pairs = written(pairs)
     # both drawn sets at the higher of the two levels decide which pairs are looked at in full
     seen = written(_met(pairs, rest.select("k", _pack_udf()("own", "next").alias("v")), _sketch_judge(sketch_t)))

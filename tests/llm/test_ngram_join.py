@@ -170,3 +170,11 @@ def test_rows_without_an_id_are_linked_but_not_named(spark):
     assert nj.jaccard_pairs(df).count() == 0
     assert rows_of(nj.one_of_each(df).select("doc_id")) == [(None,)]
     assert nj.one_of_each(df.where("doc_id = 4").unionByName(df.where("doc_id = 4"))).count() == 1
+
+
+def test_sets_with_one_common_n_gram(spark):
+    """A set of one n-gram and one of two are of similarity 0.5."""
+    rows = [(1, "a b c", "", "", 1), (2, "a b c d", "", "", 1), (3, "z a b c", "", "", 1), (4, "a b c d e", "", "", 1), (5, "a b", "", "", 1)]
+    expect = brute(rows)
+    assert expect[1, 2] == expect[1, 3] == 0.5
+    assert {(r[0], r[1]): r[2] for r in rows_of(nj.jaccard_pairs(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")))} == expect
