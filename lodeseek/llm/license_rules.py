@@ -204,7 +204,7 @@ WTFPL | 70 | want | do what the f(?:uck|\*{1,3}k?) you want to public licen[cs]e
 WTFPL | 60 | wtfpl | (?<![\w-])wtfpl(?![\w-])
 Beerware | 70 | beer | (?:the )?beer-?ware licen[cs]e(?: \(revision 42\))?
 CC0-1.0 | 70 | cc0 | (?<![\w-])cc0(?:[- ](?:v|version )?1\.0)?(?: universal)?(?: public domain dedication)?(?![\w-])
-CC0-1.0 | 72 | zero | creative commons (?:cc0|zero)(?:,? v?1\.0)?(?: universal)?
+CC0-1.0 | 72 | cc0, zero | creative commons (?:cc0|zero)(?:,? v?1\.0)?(?: universal)?
 CC0-1.0 | 72 | publicdomain/zero | https?://creativecommons\.org/publicdomain/zero/1\.0
 CC-BY-1.0 | 70 | cc by, cc-by | (?<![\w-])cc[- ]by[- ]1\.0(?![\w-])
 CC-BY-2.0 | 70 | cc by, cc-by | (?<![\w-])cc[- ]by[- ]2\.[05](?![\w-])
@@ -305,7 +305,7 @@ proprietary | 40 | reserved | all rights reserved
 proprietary | 60 | proprietary | (?:confidential and proprietary|proprietary and confidential)
 proprietary | 50 | proprietary | proprietary (?:licen[cs]e|software licen[cs]e)
 proprietary | 60 | unauthorized | unauthorized (?:copying|reproduction|use|distribution)(?: (?:of|or) [\w ]{1,40})? is (?:strictly )?prohibited
-commercial | 50 | commercial | (?:commercial|enterprise) licen[cs]e(?: agreement)?
+commercial | 50 | commercial, enterprise | (?:commercial|enterprise) licen[cs]e(?: agreement)?
 commercial | 50 | agreement | end[- ]user licen[cs]e agreement
 freeware | 50 | freeware, shareware | (?<![\w-])(?:freeware|shareware)(?![\w-])
 non-commercial | 50 | non-commercial, noncommercial | for (?:personal,? )?(?:and )?non-?commercial (?:use|purposes) only

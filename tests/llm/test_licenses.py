@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -73,3 +74,68 @@ def test_messy(spark, messy, clashing, empty):
     assert got == expect and {r[0] for r in got} >= {200, None, 203}
     assert rows_of(ls.detections(clashing)) == rows_of(ls.detections(messy))
     assert ls.detections(empty).count() == 0
+
+
+def without_keyword(rule):
+    """Whether any match of rule's pattern may hold none of its keywords: its parts move the ends of keywords that are begun."""
+    sre, starts = re._parser, {k[:i] for k in rule.keywords for i in range(len(k))}
+
+    def step(states, chars):
+        out = set()
+        for s in states:
+            for c in chars:
+                t = s + c.lower()
+                if not any(t.endswith(k) for k in rule.keywords):
+                    out.add(next(t[i:] for i in range(len(t) + 1) if t[i:] in starts))
+        return out
+
+    def run(nodes, states):
+        for op, arg in nodes:
+            op = str(op)
+            if op == "LITERAL":
+                states = step(states, [chr(arg)])
+            elif op in ("IN", "NOT_LITERAL", "ANY"):
+                one = re.compile("[^%s]" % re.escape(chr(arg)) if op == "NOT_LITERAL" else "(?s:.)") if op != "IN" else None
+                states = step(states, [c for c in map(chr, range(128)) if (one.match(c) if one else member(arg, c))] or ["\x80"])
+            elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+                low, high, inner = arg
+                for _ in range(low):
+                    states = run(inner, states)
+                new = states
+                for _ in range(min(int(high) - low, 200)):
+                    new = run(inner, new)
+                    if new <= states:
+                        break
+                    states = states | new
+            elif op == "BRANCH":
+                states = set().union(*(run(x, states) for x in arg[1]))
+            elif op == "SUBPATTERN":
+                states = run(arg[3], states)
+            else:
+                assert op in ("AT", "ASSERT", "ASSERT_NOT"), op
+        return states
+
+    def member(items, c):
+        found, negated = False, False
+        for op, x in items:
+            op = str(op)
+            if op == "NEGATE":
+                negated = True
+            elif op == "LITERAL":
+                found |= chr(x) == c
+            elif op == "RANGE":
+                found |= x[0] <= ord(c) <= x[1]
+            else:
+                found |= {"CATEGORY_DIGIT": c.isdigit(), "CATEGORY_SPACE": c.isspace(), "CATEGORY_WORD": c.isalnum() or c == "_", "CATEGORY_NOT_SPACE": not c.isspace()}[str(x)]
+        return found != negated
+
+    return bool(run(sre.parse(rule.pattern.pattern, rule.pattern.flags), {""}))
+
+
+def test_every_branch_of_a_pattern_holds_a_keyword():
+    assert [r.number for r in RULES if without_keyword(r)] == []
+
+
+def test_phrases_of_the_other_branch():
+    assert [r.license for _, _, r in ls.scanner().scan("Enterprise License Agreement")] == ["commercial"]
+    assert [(r.license, r.priority) for _, _, r in ls.scanner().scan("Creative Commons CC0 1.0 Universal")] == [("CC0-1.0", 72)]
