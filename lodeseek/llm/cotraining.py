@@ -1,9 +1,9 @@
 """Quality classifier by co-training of two views.
 
 The content view is the hashed n-gram model of textfeat. The page view sees no words: language, source,
-length and layout (lines, letter case, digits, symbols, repeated neighbours). Each round, either view
-labels the documents of a fresh slice of the unlabelled pool that it is surest of, and the other one
-trains on them too. At the end both are calibrated on labelled documents that neither trained on, their
+length and layout (lines, letter case, digits, symbols, repeated neighbours). Each round, both views score
+every document without a label in a distributed pass; either view labels those that it is surest of, and the
+other one trains on them too. Copies count once, and what is labelled leaves the pool. At the end both are calibrated on labelled documents that neither trained on, their
 log-odds are added, and the sum is calibrated again. Every document is scored, on its whole text.
 """
 
@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import free_name, table
+from lodeseek.llm.common import free_name, table, written
 from lodeseek.llm.quality_rules import labelled_sample, own_labels, positive_share
 from lodeseek.llm.textfeat import BITS, DAMP, FAMILIES, SCALE, Rows, _row_sums, _slot, buffers, chunks, features, fit_logistic, hashed, platt, prior_shift, sigmoid
 
-#: Bounds of what the two models are fitted on: labelled documents of each class, unlabelled pool.
-SAMPLE, POOL = 1000, 1600
+#: Bound of what the two models are fitted on: labelled documents of each class.
+SAMPLE = 1000
 ROUNDS = 4
-#: A view hands over at most so many pseudo-labels of each class a round, all at least this sure.
+#: A view hands over at most so many pseudo-labels of each class a round, all at least this sure: the bound of unlabelled documents.
 EXCHANGE, SURE = 60, 0.95
 #: Documents under this combined probability are rejected.
 REJECT = 0.35
@@ -114,69 +114,111 @@ class CoModel:
         if self.page is None:
             p = np.full(len(texts), sigmoid(np.array([self.text_bias]))[0])
             return p, p, p
-        z, x = read(texts, lang, source, n_chars, self.text, self.text_bias)
-        zt, zp = self.cal[0][0] * z + self.cal[0][1], self.cal[1][0] * self.page.logits(x) + self.cal[1][1]
+        zt, zp = self.log_odds(texts, lang, source, n_chars)
         return sigmoid(zt), sigmoid(zp), sigmoid(self.cal[2][0] * (zt + zp) + self.cal[2][1])
 
+    def log_odds(self, texts, lang, source, n_chars) -> tuple[np.ndarray, np.ndarray]:
+        """Calibrated log-odds by content and by page."""
+        z, x = read(texts, lang, source, n_chars, self.text, self.text_bias)
+        return self.cal[0][0] * z + self.cal[0][1], self.cal[1][0] * self.page.logits(x) + self.cal[1][1]
+
+
+_COLUMNS = ("text", "lang", "source", "n_chars")
 
-def _pick(z: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the free pool rows, those that calibrated log-odds z are surest of, and their labels."""
-    sure = np.log(SURE / (1 - SURE))
-    good = [i for i in free[np.argsort(-z[free], kind="stable")][:EXCHANGE] if z[i] >= sure]
-    bad = [i for i in free[np.argsort(z[free], kind="stable")][:EXCHANGE] if z[i] <= -sure]
-    return np.asarray(good + bad, int), np.concatenate([np.ones(len(good)), np.zeros(len(bad))])
 
+def unlabelled_ids(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(__id) of all documents without a label, written."""
+    ids = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("__id"))
+    return written(ids.join(own_labels(labels, "quality"), "__id", "left_anti").distinct())
 
-def unlabelled_pool(documents: DataFrame, labels: DataFrame, size: int = POOL) -> pa.Table:
-    """Up to size documents without a label, those of the least hash of their id."""
-    ids = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("__id")).join(own_labels(labels, "quality"), "__id", "left_anti").distinct()
-    ids = ids.orderBy(F.xxhash64(F.lit(29), F.col("__id")), "__id").limit(size)
-    docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("__id"), "text", "lang", "source", "n_chars")
-    # at most size ids, whatever the input
-    rows = docs.join(F.broadcast(ids), "__id").groupBy("__id").agg(*[F.min_by(c, F.col("text")).alias(c) for c in ("lang", "source", "n_chars")], F.min("text").alias("text"))
-    return rows.orderBy("__id").toArrow()
 
+def surest(documents: DataFrame, free: DataFrame, model: CoModel, given: set[tuple[int, int]]) -> tuple[pa.Table, dict]:
+    """Of all documents of free, those that the views are surest of: their rows, and {view: (rows, labels)}.
 
-def train(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE, pool: int = POOL, rounds: int = ROUNDS) -> CoModel:
-    own = labelled_sample(documents, labels, per_class=per_class, columns=("text", "lang", "source", "n_chars"))
+    given: (id, print) of those that had a label before; they and the new ones are in it afterwards.
+    """
+
+    @F.arrow_udf("text double, page double")
+    def log_odds(text: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(z) for z in model.log_odds(text, lang, source, n_chars)], ["text", "page"])
+
+    print_of = F.xxhash64(*_COLUMNS)
+    docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("__id"), *_COLUMNS)
+    # numbers only: texts stay where they are
+    scored = docs.select("__id", print_of.alias("__print"), log_odds(*_COLUMNS).alias("z")).select("__id", "__print", "z.*")
+    scored = written(scored.join(free, "__id", "left_semi").groupBy("__print").agg(F.min("__id").alias("__id"), F.max("text").alias("text"), F.max("page").alias("page")))
+    gone = {p for _, p in given}
+    sure, said = float(np.log(SURE / (1 - SURE))), {}
+    for view in ("text", "page"):
+        for sign in (1, -1):
+            z = F.col(view) * sign
+            # what was given before may be in front again
+            best = scored.where(z >= sure).orderBy(z.desc(), "__print").limit(EXCHANGE + len(gone)).collect()
+            said[view, sign] = [(r["__id"], r["__print"]) for r in best if r["__print"] not in gone][:EXCHANGE]
+    new = sorted({x for own in said.values() for x in own})
+    given.update(new)
+    # at most 4 * EXCHANGE ids
+    keys = documents.sparkSession.createDataFrame(new, "__id long, __print long")
+    rows = docs.join(F.broadcast(keys.select("__id").distinct()), "__id").withColumn("__print", print_of).join(F.broadcast(keys), ["__id", "__print"]).dropDuplicates(["__id", "__print"])
+    found = rows.orderBy("__id", "__print").toArrow()
+    at = {x: i for i, x in enumerate(zip(found["__id"].to_pylist(), found["__print"].to_pylist()))}
+    picked = {}
+    for view in ("text", "page"):
+        good, bad = ([at[x] for x in said[view, sign]] for sign in (1, -1))
+        picked[view] = np.asarray(good + bad, int), np.concatenate([np.ones(len(good)), np.zeros(len(bad))])
+    return found.select(list(_COLUMNS)), picked
+
+
+def _and(x: Rows, y: Rows) -> Rows:
+    return Rows(np.concatenate([x.slot, y.slot]), np.concatenate([x.value, y.value]), np.concatenate([x.start, x.start[-1] + y.start[1:]]))
+
+
+def train(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE, rounds: int = ROUNDS) -> CoModel:
+    own = labelled_sample(documents, labels, per_class=per_class, columns=_COLUMNS)
     y = np.asarray(own["__y"].to_pylist(), float)
     if len(y) < 8 or min((y > 0).sum(), (y <= 0).sum()) < 4:
         rate = (y.sum() + 1) / (len(y) + 2)
         return CoModel(None, float(np.log(rate / (1 - rate))), None, (), {"classes": 1})
-    both = pa.concat_tables([own.select(["text", "lang", "source", "n_chars"]), unlabelled_pool(documents, labels, pool).select(["text", "lang", "source", "n_chars"])]).combine_chunks()
-    texts, meta = both["text"].combine_chunks(), [both[c].combine_chunks() for c in ("lang", "source", "n_chars")]
-    x_text = features(texts)
-    _, x_page = read(texts, *meta, None)
-    n, total = len(y), len(both)
+
+    def both_views(rows: pa.Table) -> tuple[Rows, np.ndarray]:
+        texts, *meta = (rows[c].combine_chunks() for c in _COLUMNS)
+        return features(texts), read(texts, *meta, None)[1]
+
+    x_text, x_page = both_views(own)
     rng = np.random.default_rng(11)
-    held = np.zeros(total, bool)
+    held = np.zeros(len(y), bool)
     for c in (0, 1):
         rows = rng.permutation(np.flatnonzero(y == c))
         held[rows[: max(1, len(rows) // 4)]] = True
-    test = np.flatnonzero(held)
-    label = np.concatenate([y, np.zeros(total - n)])
-    train_rows = np.flatnonzero(~held[:n])
+    test, train_rows = np.flatnonzero(held), np.flatnonzero(~held)
     sets = {"text": [train_rows, y[train_rows]], "page": [train_rows, y[train_rows]]}
-    order = n + rng.permutation(total - n)
-    slices = np.array_split(order, max(1, rounds))
-    dim, warm, given = len(FAMILIES) << BITS, None, []
+    free = unlabelled_ids(documents, labels)
+    rounds = 0 if free.isEmpty() else rounds
+    dim, warm, given, before = len(FAMILIES) << BITS, None, [], set()
     for r in range(rounds + 1):
         warm = fit_logistic(x_text.take(sets["text"][0]), sets["text"][1], dim, steps=50 if warm is None else 12, start=warm)
         page = fit_page(x_page[sets["page"][0]], sets["page"][1])
-        zt, zp = x_text.dot(warm[0]) + warm[1], page.logits(x_page)
-        ct, cp = platt(zt[test], label[test]), platt(zp[test], label[test])
+        zt, zp = (x_text.dot(warm[0]) + warm[1])[test], page.logits(x_page[test])
+        ct, cp = platt(zt, y[test]), platt(zp, y[test])
+        model = CoModel(warm[0].astype(np.float32).reshape(len(FAMILIES), -1), warm[1], page, (ct, cp, (1.0, 0.0)), {})
         if r == rounds:
             break
-        free = slices[r]
-        for view, other, z in (("text", "page", ct[0] * zt + ct[1]), ("page", "text", cp[0] * zp + cp[1])):
-            rows, said = _pick(z, free)
+        new, picked = surest(documents, free, model, before)
+        n = len(x_page)
+        if len(new):
+            more = both_views(new)
+            x_text, x_page = _and(x_text, more[0]), np.concatenate([x_page, more[1]])
+        for view, other in (("text", "page"), ("page", "text")):
+            rows, said = picked[view]
             given.append((r, view, len(rows)))
-            sets[other] = [np.concatenate([sets[other][0], rows]), np.concatenate([sets[other][1], said])]
-    z = ct[0] * zt + ct[1] + cp[0] * zp + cp[1]
-    slope, shift = platt(z[test], label[test])
-    shift += prior_shift(label[test], positive_share(labels))
-    right = {k: float(((v[test] > 0) == (label[test] > 0)).mean()) for k, v in (("text", ct[0] * zt + ct[1]), ("page", cp[0] * zp + cp[1]), ("both", z))}
-    return CoModel(warm[0].astype(np.float32).reshape(len(FAMILIES), -1), warm[1], page, (ct, cp, (slope, shift)), {"held_out": len(test), "accuracy": right, "exchanged": given})
+            sets[other] = [np.concatenate([sets[other][0], n + rows]), np.concatenate([sets[other][1], said])]
+    zt, zp = ct[0] * zt + ct[1], cp[0] * zp + cp[1]
+    slope, shift = platt(zt + zp, y[test])
+    shift += prior_shift(y[test], positive_share(labels))
+    model.cal = ct, cp, (slope, shift)
+    right = {k: float(((v > 0) == (y[test] > 0)).mean()) for k, v in (("text", zt), ("page", zp), ("both", zt + zp))}
+    model.note = {"held_out": len(test), "accuracy": right, "exchanged": given}
+    return model
 
 
 def probabilities(model: CoModel):

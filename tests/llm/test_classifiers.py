@@ -139,3 +139,31 @@ def test_calibration():
     assert abs(slope - 2.5) < 0.4 and abs(shift + 1) < 0.3
     assert textfeat.platt(z, np.ones(4000)) == (1.0, 0.0)
     assert textfeat.prior_shift(np.array([1.0, 0.0]), 0.5) == 0
+
+
+def test_every_unlabelled_document_may_be_exchanged(spark):
+    """The surest of each view are those of a pass over all, one of each group of copies."""
+    rows = [(i, ("good clean sentence number %d with care" % i) if i % 2 else ("BUY NOW!!! $$$ click here %d" % i), "en", f"s{i % 3}", 40) for i in range(60)]
+    rows += [(100 + i, f"some other words {i} here", "en", "s1", 40) for i in range(2500)]
+    rows += [(10_000 + i, "good clean sentence number with care " * 3, "en", "s1", 40) for i in range(5)]
+    documents = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], LABELS)
+    model = cotraining.train(documents, labels, rounds=0)
+    free = cotraining.unlabelled_ids(documents, labels)
+    assert free.count() == 2505
+    given = set()
+    found, picked = cotraining.surest(documents, free, model, given)
+    own = {(t, s): i for i, t, _, s, _ in reversed(rows[60:])}
+    texts, langs, sources, sizes = (pa.array(c) for c in zip(*[(t, "en", s, 40) for t, s in own]))
+    sure = np.log(cotraining.SURE / (1 - cotraining.SURE))
+    for view, z in zip(("text", "page"), model.log_odds(texts, langs, sources, sizes)):
+        at, said = picked[view]
+        for y, sign in ((1, 1), (0, -1)):
+            expect = np.sort(sign * z)[::-1][: cotraining.EXCHANGE]
+            expect = expect[expect >= sure]
+            mine = found.take(pa.array(at[said == y], pa.int64())) if (said == y).any() else found.slice(0, 0)
+            got = sign * model.log_odds(*(mine[c].combine_chunks() for c in ("text", "lang", "source", "n_chars")))[view == "page"] if len(mine) else np.zeros(0)
+            assert np.allclose(np.sort(got)[::-1], expect)
+    assert len(given) == len(found) > 0
+    again, _ = cotraining.surest(documents, free, model, set(given))
+    assert not set(again["text"].to_pylist()) & set(found["text"].to_pylist())
