@@ -282,7 +282,7 @@ def _stored(spark, d, batches: tuple[str, ...] = ("true",)) -> Table:
     return t
 
 
-_SEGMENTS = ("lang = 'en'", "lang in ('de', 'es')", "lang not in ('en', 'de', 'es')")
+_SEGMENTS = ("lang = 'en'", "lang in ('de', 'es')", "coalesce(lang, '') not in ('en', 'de', 'es')")
 
 
 def _by_key(t: Table, found: DataFrame, weight: bool = True) -> DataFrame:
@@ -474,7 +474,7 @@ def tombstones(spark, d):
 
 @query("select doc_id, lang, source, n_chars, case when lang = 'de' then 'new' else '' end as note, case when lang = 'de' then 5 end as stars from documents")
 def add_field(spark, d):
-    t = _stored(spark, d, ("lang <> 'de'",))
+    t = _stored(spark, d, ("coalesce(lang, '') <> 'de'",))
     t.add_field("note", "string")
     t.add_field("stars", "number")
     t.add(DOCS.typed(table(spark, d, "documents").where("lang = 'de'")).withColumns({"note": F.lit("new"), "stars": F.lit(5)}))
