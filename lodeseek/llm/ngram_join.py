@@ -1,26 +1,30 @@
-"""N-gram Jaccard self-join: a size-aware heavy-light join over sampled n-gram sets, then exact verification.
-
-A document is the set of its word N-grams. Documents with one and the same set are tied to the least of
-them (similarity 1) and only that one goes on. Of each set, the n-grams whose hash is under 1/2**level are
-drawn; the level follows the set's size (both neighbours where a partner could be of the next level), so a
-drawn set has M elements or more, and much larger sets stay larger. Elements are ordered by document
-frequency, the rarest first. Two drawn sets of Jaccard SKETCH_T or more share C elements among the first
-s - ceil(SKETCH_T * s) + C of each; elements that one document alone has take their places there but can't
-match. So the join asks for C common elements of those prefixes:
-
-- light sets (at most x live elements) emit each C-subset of them, and meet where a subset is the same;
-- heavy sets scan the inverted lists of their elements over all sets, and count.
-
-Sets so small that they can be of similarity T with fewer than C common elements are joined by each element.
-
-x is the boundary of least estimated cost. Candidates whose drawn sets are under SKETCH_T are dropped; the
-rest is verified on the complete n-gram sets. Only the drawing can lose a pair (recall is about 0.98 at
-similarity T with the smallest drawn sets, above 0.999 from 0.6 on); whatever is returned is exact.
+"""N-gram Jaccard self-join: an exact size-aware heavy-light join over groups of like n-gram sets.
+
+A document is the set of its word N-grams, as 48-bit hashes. Rows of one and the same set are one from the
+first step on. The steps:
+
+1. Document frequencies. The n-grams of all sets go, packed, to buckets of their hash, which find those that two
+   sets or more hold (live). N-grams that many rows of one batch hold are known beforehand, are live, and skip the
+   buckets, so that none of these has to hold all sets of such an n-gram.
+2. Prefixes. Live n-grams come back to their sets. A set of n n-grams of which fewer than T * n are live has no
+   partner. Of the others, by (frequency, hash), the first L - ceil(T * n) + C of the L live ones are the prefix: two
+   sets of similarity T share C elements of their prefixes. Nothing is drawn, so nothing is lost here.
+3. Groups. Sets go in one group by the min-hash of their prefix: near copies mostly share it, so that thousands of
+   them are one side of the join. The union of its members' prefixes stands for the group.
+4. Heavy-light join of groups that share C elements. Light groups (at most x elements that other groups have too) emit
+   each C-subset, and meet where one is the same; heavy ones scan the inverted lists of their elements over all
+   groups, and count. x is the boundary of least estimated cost. Sets so small that they can be of similarity T
+   with fewer than C common elements are joined by each element.
+5. Cells. Each group is a home, in blocks; the members of the smaller group of a pair visit the blocks of the larger
+   one, and a block is visited by those before it. A cell counts the common n-grams of its block with all that visit it,
+   by sparse or dense products, and returns sums and one link for each set: pairs are never written.
+
+Sets are told apart by a 64-bit print (two of s sets have the same one with a probability of s**2 / 3.7e19).
 """
 
 from __future__ import annotations
 
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,23 +34,25 @@ from pyspark.sql import functions as F
 from lodeseek.llm.common import table, written
 from lodeseek.llm.textfeat import _LOWER, _WORD, _power_tables, buffers, chunks
 
-#: Words of an n-gram; the similarity from which pairs are returned.
-N, T = 3, 0.5
-#: Size of the subsets, Jaccard that drawn sets must have, least size of a drawn set, highest level.
-C, SKETCH_T, M, TOP = 2, 0.3, 16, 4
-#: Sets are of one of 2**BLOCK_BITS blocks by their min-hash, in which copies mostly agree.
-BLOCK_BITS = 20
-#: Keys (one number each) are sent to all executors up to so many, some 80 MB; more of them are joined by a shuffle.
+#: Words of an n-gram; the similarity from which documents are linked; size of the subsets.
+N, T, C = 3, 0.5, 2
+#: An n-gram in more than one of so many rows of a batch, and of all rows, and in LEAST_HOT of a batch, skips the buckets.
+HOT, LEAST_HOT = 256, 32
+#: N-grams of a bucket, about, and those packed at once; live n-grams of a bucket of sets.
+PER_BUCKET, AT_ONCE, PER_SETS = 2_000_000, 4_000_000, 1_000_000
+#: Elements and sets of a block, sets that visit a cell, about.
+BLOCK, MEMBERS, VISITS = 1 << 20, 1024, 16_384
+#: Keys are sent to all executors up to so many, some 120 MB; more of them are joined by a shuffle.
 FEW = 2_000_000
-#: Pairs of a cell that are judged in one place, about; those of larger cells are split up.
-CELL = 200_000
-#: Elements of sets that are intersected at once.
-AT_ONCE = 1 << 20
 #: Shuffled rows of a subset and of a posting cost about the same; a scanned list element costs this much of one.
 SCAN_COST = 0.5
+#: Nanoseconds of one common n-gram of a sparse product, and of one cell of a dense one.
+SPARSE_NS, DENSE_NS = 12.0, 0.1
 
 _G = np.uint64(0x9E3779B97F4A7C15)
 _MASK = np.uint64((1 << 48) - 1)
+#: Frequency by which n-grams that skip the buckets are ordered: last.
+_LAST = 65_535
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -108,57 +114,223 @@ def _runs(off: np.ndarray):
             yield k, min(j, k + 65_535)
 
 
-def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values.astype(np.int64)))
-
-
-def _signature_udf(n: int, m: int, top: int):
-    @F.arrow_udf("n int, m int, f1 long, f2 long, own array<long>, next array<long>")
-    def signature(texts: pa.Array) -> pa.Array:
-        data, off = buffers(texts)
-        parts: list = [[] for _ in range(8)]
-        for i, j in _runs(off):
-            rows, g = gram_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], n)
-            count = np.bincount(rows, minlength=j - i)
-            at = np.concatenate(([0], np.cumsum(count)))
-            # a row's n-grams are sorted, so its first one is its min-hash
-            least = np.zeros(j - i, np.uint64)
-            least[count > 0] = g[at[:-1][count > 0]]
-            prints = [(_mix(least) >> np.uint64(64 - BLOCK_BITS)).astype(np.int64)]
-            for salt in (1, 2):
-                total = np.zeros(len(g) + 1, np.uint64)
-                np.cumsum(_mix(g + np.uint64(salt << 50)), out=total[1:])
-                prints.append((total[at[1:]] - total[at[:-1]]).view(np.int64))
-            level = np.clip(np.floor(np.log2(np.maximum(count, 1) / m)), 0, top).astype(np.int64)
-            lv = level[rows]
-            a = g < (np.uint64(1 << 48) >> lv.astype(np.uint64))
-            b = (lv < top) & (g < (np.uint64(1 << 47) >> lv.astype(np.uint64)))
-            for part, x in zip(parts, (count, *prints, (g[a].astype(np.int64) << 3) | lv[a], np.bincount(rows[a], minlength=j - i), (g[b].astype(np.int64) << 3) | (lv[b] + 1), np.bincount(rows[b], minlength=j - i))):
-                part.append(x)
-        cat = [np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts]
-        return pa.StructArray.from_arrays([pa.array(cat[0].astype(np.int32)), pa.array(cat[1].astype(np.int32)), pa.array(cat[2]), pa.array(cat[3]), _lists(cat[4], cat[5]), _lists(cat[6], cat[7])], ["n", "m", "f1", "f2", "own", "next"])
-
-    return signature
-
-
-def _full_set_udf(n: int):
-    @F.arrow_udf("binary")
-    def full_set(texts: pa.Array) -> pa.Array:
-        """The text's n-grams as sorted 32-bit hashes."""
-        data, off = buffers(texts)
-        out = []
-        for i, j in _runs(off):
-            rows, g = gram_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], n)
-            at = np.searchsorted(rows, np.arange(j - i + 1))
-            short = (g >> np.uint64(16)).astype(np.uint32)
-            out += [np.unique(short[at[r] : at[r + 1]]).tobytes() for r in range(j - i)]
-        return pa.array(out, pa.binary())
-
-    return full_set
+def pack48(x: np.ndarray) -> bytes:
+    """Numbers under 2**48 in six bytes each."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpack48(b) -> np.ndarray:
+    six = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, :6] = six
+    return out.view("<u8").ravel()
+
+
+def _blob(sids: np.ndarray, g: np.ndarray, df: np.ndarray | None = None) -> bytes:
+    """Postings, those of a set in a row: the sets and their counts, the n-grams, and their frequencies if given."""
+    first = np.flatnonzero(np.concatenate(([True], sids[1:] != sids[:-1])))
+    count = np.diff(np.concatenate((first, [len(sids)]))).astype(np.uint32)
+    return b"".join((np.asarray([len(first), len(g)], np.int64).tobytes(), sids[first].tobytes(), count.tobytes(), pack48(g), b"" if df is None else df.astype(np.uint16).tobytes()))
+
+
+def _unblob(blobs: list, with_df: bool) -> list[np.ndarray]:
+    """(sets, n-grams, frequencies) of all postings of the blobs."""
+    out: list = [[], [], []]
+    for b in blobs:
+        k, p = np.frombuffer(b, np.int64, 2)
+        at = 16 + 12 * k
+        out[0].append(np.repeat(np.frombuffer(b, np.uint64, k, 16), np.frombuffer(b, np.uint32, k, 16 + 8 * k)))
+        out[1].append(unpack48(memoryview(b)[at : at + 6 * p]))
+        out[2].append(np.frombuffer(b, np.uint16, p, at + 6 * p) if with_df else np.zeros(0, np.uint16))
+    return [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.uint64, np.uint64, np.uint16))]
+
+
+def _hashed(texts: pa.Array, n: int):
+    """For runs of rows: (first row, n-grams of each, row of each n-gram, n-grams)."""
+    data, off = buffers(texts)
+    for i, j in _runs(off):
+        rows, g = gram_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], n)
+        yield i, np.bincount(rows, minlength=j - i), rows, g
+
+
+def _prints(count: np.ndarray, g: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit prints of each set."""
+    at, out = np.concatenate(([0], np.cumsum(count))), []
+    for salt in (1, 2):
+        total = np.zeros(len(g) + 1, np.uint64)
+        np.cumsum(_mix(g + np.uint64(salt << 50)), out=total[1:])
+        out.append(_mix((total[at[1:]] - total[at[:-1]]) ^ (count.astype(np.uint64) << np.uint64(40))))
+    return out
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where a new value begins in sorted x, and the end."""
+    return np.concatenate((np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))), [len(x)])) if len(x) else np.zeros(1, np.int64)
+
+
+def _hot(grams: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams that stand in least rows or more, and in how many. Only those of full slots of a table are sorted."""
+    slot = [(g & np.uint64((1 << 20) - 1)).astype(np.int64) for g in grams]
+    full = np.zeros(1 << 20, np.int64)
+    for s in slot:
+        full += np.bincount(s, minlength=1 << 20)
+    full = full >= least
+    g = np.sort(np.concatenate([x[full[s]] for x, s in zip(grams, slot)]))
+    at = _starts(g)
+    many = np.diff(at) >= least
+    return g[at[:-1][many]], np.diff(at)[many]
+
+
+def row_key(df: DataFrame):
+    """128 bits for rows of one id and text."""
+    return F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.length(F.col("doc_id").cast("string")), F.lit(-1)).cast("string"), F.col("doc_id").cast("string"), "text").cast("binary")))
+
+
+def signatures(docs: DataFrame, n: int = N) -> tuple[DataFrame, list[int]]:
+    """(doc_id, k, n, sid, f2) of each row: its key, and the size and prints of its set; and n-grams that very many rows hold."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def sweep(batches):
+        for b in batches:
+            parts: list = [[], [], []]
+            grams = []
+            for _, count, _, g in _hashed(b.column("text"), n):
+                for part, x in zip(parts, (count, *_prints(count, g))):
+                    part.append(x)
+                grams.append(g)
+            if grams:
+                size, f1, f2 = (np.concatenate(p) for p in parts)
+                cols = [b.column("doc_id"), b.column("k"), pa.array(size.astype(np.int32)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(b), pa.int64()), pa.nulls(len(b), pa.int64())], names)
+                g, rows = _hot(grams, max(LEAST_HOT, len(b) // HOT))
+                none = [pa.nulls(len(g), c.type) for c in cols]
+                yield pa.RecordBatch.from_arrays([*none, pa.array(g.view(np.int64)), pa.array(rows)], names)
+
+    names = ["doc_id", "k", "n", "sid", "f2", "g", "rows"]
+    both = written(docs.select("doc_id", row_key(docs).alias("k"), "text").mapInArrow(sweep, f"doc_id {kind}, k binary, n int, sid long, f2 long, g long, rows long"))
+    sig = both.where("n is not null").drop("g", "rows")
+    # at most HOT times a set's n-grams
+    hot = both.where("g is not null").groupBy("g").agg(F.sum("rows").alias("rows")).where(F.col("rows") * HOT >= sig.count()).select("g").collect()
+    return sig, sorted(r.g for r in hot)
+
+
+def _sweep_buckets(batches, key: str, done):
+    """Runs done(key, batches' rows) for each run of equal keys; batches are sorted by it."""
+    at, held = None, []
+    for b in batches:
+        keys = b.column(key).to_numpy()
+        cut = _starts(keys)
+        for x, y in zip(cut[:-1], cut[1:]):
+            if keys[x] != at and held:
+                yield from done(at, held)
+                held = []
+            at = keys[x]
+            held.append(b.slice(x, y - x))
+    if held:
+        yield from done(at, held)
+
+
+def _rows(held: list, name: str) -> list:
+    return [v for b in held for v in b.column(name).to_pylist()]
+
+
+def _scatter(docs: DataFrame, n: int, bits: int, hot: list[int]) -> DataFrame:
+    """(p, blob): postings of the sets of docs by buckets of the n-gram's hash; those of hot ones by the set, from bucket 2**bits on."""
+    hot_g = np.asarray(hot, np.uint64)
+
+    def flush(sids, counts, grams):
+        sid, count, g = np.concatenate(sids), np.concatenate(counts), np.concatenate(grams)
+        _, first = np.unique(sid, return_index=True)
+        own = np.zeros(len(sid), bool)
+        own[first] = True
+        g, sid = g[np.repeat(own, count)], np.repeat(sid[own], count[own])
+        p = (g >> np.uint64(48 - bits)).astype(np.int64)
+        if len(hot_g):
+            is_hot = hot_g[np.minimum(np.searchsorted(hot_g, g), len(hot_g) - 1)] == g
+            p[is_hot] = (1 << bits) + (sid[is_hot] & np.uint64((1 << bits) - 1)).astype(np.int64)
+        order = np.argsort(p.astype(np.uint16) if bits < 15 else p, kind="stable")
+        p, sid, g = p[order], sid[order], g[order]
+        cut = _starts(p)
+        yield pa.RecordBatch.from_arrays([pa.array(p[cut[:-1]].astype(np.int32)), pa.array([_blob(sid[x:y], g[x:y]) for x, y in zip(cut[:-1], cut[1:])], pa.binary())], ["p", "blob"])
+
+    def sweep(batches):
+        held: list = [[], [], []]
+        size = 0
+        for b in batches:
+            for _, count, _, g in _hashed(b.column("text"), n):
+                for part, x in zip(held, (_prints(count, g)[0], count, g)):
+                    part.append(x)
+                size += len(g)
+                if size >= AT_ONCE:
+                    yield from flush(*held)
+                    held, size = [[], [], []], 0
+        if size:
+            yield from flush(*held)
+
+    return docs.select("text").mapInArrow(sweep, "p int, blob binary")
+
+
+def _live(postings: DataFrame, bits: int, set_bits: int) -> DataFrame:
+    """(q, blob): of each bucket the postings of n-grams of two sets or more, with their frequency, by buckets of the sets."""
+
+    def done(p, held):
+        sid, g, _ = _unblob(_rows(held, "blob"), False)
+        order = np.lexsort((sid, g))
+        sid, g = sid[order], g[order]
+        # one set may come from several batches
+        once = np.concatenate(([True], (g[1:] != g[:-1]) | (sid[1:] != sid[:-1])))
+        sid, g = sid[once], g[once]
+        df = np.repeat(np.diff(_starts(g)), np.diff(_starts(g)))
+        df = np.full(len(g), _LAST) if p >= 1 << bits else np.minimum(df, _LAST - 1)
+        sid, g, df = sid[df > 1], g[df > 1], df[df > 1]
+        q = (sid & np.uint64((1 << set_bits) - 1)).astype(np.int64)
+        order = np.lexsort((sid, q))
+        q, sid, g, df = q[order], sid[order], g[order], df[order]
+        cut = _starts(q)
+        if len(q):
+            yield pa.RecordBatch.from_arrays([pa.array(q[cut[:-1]].astype(np.int32)), pa.array([_blob(sid[x:y], g[x:y], df[x:y]) for x, y in zip(cut[:-1], cut[1:])], pa.binary())], ["q", "blob"])
+
+    return postings.repartition("p").sortWithinPartitions("p").mapInArrow(lambda batches: _sweep_buckets(batches, "p", done), "q int, blob binary")
+
+
+def _both(t: float, c: int) -> int:
+    """n-grams of two sets together, up to which they can be of similarity t with fewer than c in common: o common ones allow o * (1 + 1 / t)."""
+    return int((c - 1) * (1 + 1 / t) + 1e-9)
+
+
+def _prefixes(live: DataFrame, sets: DataFrame, set_bits: int, t: float, c: int) -> DataFrame:
+    """(sid, n, w, key, g, prefix) of the sets that can have a partner: their live n-grams, prefix and its min-hash."""
+
+    def done(q, held):
+        sid, n, w = (np.asarray([v for v in _rows(held, x) if v is not None], np.int64) for x in ("sid", "n", "w"))
+        order = np.argsort(sid.view(np.uint64))
+        sid, n, w = sid.view(np.uint64)[order], n[order], w[order]
+        own, g, df = _unblob([v for v in _rows(held, "blob") if v is not None], True)
+        order = np.lexsort((g, df, own))
+        own, g = own[order], g[order]
+        cut = _starts(own)
+        at = np.searchsorted(sid, own[cut[:-1]])
+        out: list = [[] for _ in range(6)]
+        for i, x, y in zip(at, cut[:-1], cut[1:]):
+            least = ceil(t * n[i] - 1e-9)
+            if y - x < least:
+                continue
+            take = y - x if n[i] < _both(t, c) else min(y - x, y - x - least + c)
+            prefix = g[x : x + take]
+            for part, v in zip(out, (sid[i], n[i], w[i], _mix(prefix).min(), pack48(np.sort(g[x:y])), prefix.view(np.int64))):
+                part.append(v)
+        if out[0]:
+            longs = [pa.array(np.asarray(v).astype(np.uint64).view(np.int64)) for v in out[:4]]
+            yield pa.RecordBatch.from_arrays([*longs, pa.array(out[4], pa.binary()), pa.array(out[5], pa.list_(pa.int64()))], ["sid", "n", "w", "key", "g", "prefix"])
+
+    none = F.lit(None)
+    q = F.col("sid").bitwiseAND(F.lit((1 << set_bits) - 1)).cast("int").alias("q")
+    rows = live.select("q", none.cast("long").alias("sid"), none.cast("long").alias("n"), none.cast("long").alias("w"), "blob").unionByName(sets.select(q, "sid", F.col("n").cast("long"), "w", none.cast("binary").alias("blob")))
+    return rows.repartition("q").sortWithinPartitions("q").mapInArrow(lambda batches: _sweep_buckets(batches, "q", done), "sid long, n long, w long, key long, g binary, prefix array<long>")
 
 
 def _subsets_udf(c: int):
-    @F.arrow_udf("array<struct<first:long,key:long>>")
+    @F.arrow_udf("array<struct<first:long,more:long>>")
     def subsets(prefix: pa.Array) -> pa.Array:
         """Each c-subset of each list: its first element, and a hash of the others. Lists are in one order of all elements."""
         from itertools import combinations
@@ -179,155 +351,184 @@ def _subsets_udf(c: int):
             keys.append(h.view(np.int64))
             sizes.append(len(h))
         none = np.zeros(0, np.int64)
-        both = pa.StructArray.from_arrays([pa.array(np.concatenate(x) if x else none) for x in (firsts, keys)], ["first", "key"])
+        both = pa.StructArray.from_arrays([pa.array(np.concatenate(x) if x else none) for x in (firsts, keys)], ["first", "more"])
         return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), both)
 
     return subsets
 
 
-def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of x[i] and y[i], sets of hashes under 2**48. Some pairs at once, by their elements."""
-    out = np.zeros(len(x), np.int64)
-    sizes = np.asarray([len(a) + len(b) for a, b in zip(x, y)], np.int64)
-    ends = np.cumsum(sizes)
-    a = 0
-    while a < len(x):
-        b = min(max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + AT_ONCE, "right"))), a + 65_535)
-        own, other = x[a:b], y[a:b]
-        at = np.arange(len(own), dtype=np.uint64) << np.uint64(48)
-        both = np.concatenate([*own, *other]).astype(np.uint64) | np.concatenate([np.repeat(at, [len(v) for v in s]) for s in (own, other)])
-        both.sort()
-        out[a:b] = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(48)).astype(np.int64), minlength=len(own))
-        a = b
-    return out
-
-
-def _possible(found: DataFrame, t: float) -> DataFrame:
-    """Pairs (a, b) of structs (k, m, n) whose sizes n allow a similarity of t, as (k1, k2, c1, c2) with found's other columns. c1, c2: their cell."""
-    rest = [c for c in found.columns if c not in ("a", "b")]
-    sized = found.where(F.least("a.n", "b.n") >= t * F.greatest("a.n", "b.n"))
-    return sized.select(*rest, F.col("a.k").alias("k1"), F.col("b.k").alias("k2"), F.least("a.m", "b.m").alias("c1"), F.greatest("a.m", "b.m").alias("c2"))
-
-
-def _met(pairs: DataFrame, sets: DataFrame, judge, more: tuple[str, ...] = ()) -> DataFrame:
-    """pairs (k1, k2, c1, c2) that judge lets pass, with the columns more that it finds.
-
-    sets: (k, v binary). Each set goes once to each cell (c1, c2) that has it in a pair: a cell is made of the
-    blocks of both, and copies share a block, so a group of n of them moves n sets, not one for each of its pairs. Cells of
-    very many pairs are split by k1.
-    judge(x, y): values of both sets of some pairs -> (what stays, columns).
+def _group_pairs(prefixes: DataFrame, groups: DataFrame, t: float, c: int) -> DataFrame:
+    """(a, b) distinct, a < b: keys of the groups that can hold partners of each other."""
+    own = prefixes.select("key", F.explode("prefix").alias("g")).distinct()
+    lists = own.groupBy("g").agg(F.count("*").alias("groups")).where("groups > 1")
+    posts = written(own.join(lists, "g"))
+    sizes = written(posts.groupBy("key").agg(F.count("*").alias("size"), F.sum("groups").alias("scan")).where(F.col("size") >= c))
+    x = boundary([(r.size, r.sets, float(r.scan)) for r in sizes.groupBy("size").agg(F.count("*").alias("sets"), F.sum("scan").alias("scan")).collect()], c)
+    posts = posts.drop("groups").join(sizes.select("key", (F.col("size") <= x).alias("light")), "key")
+    keys = posts.where("light").groupBy("key").agg(F.sort_array(F.collect_list("g")).alias("e")).select("key", F.explode(_subsets_udf(c)("e")).alias("s")).select("key", "s.*")
+    met = keys.select("first", F.col("key").alias("a"), F.col("more").alias("m")).join(keys.select("first", F.col("key").alias("b"), F.col("more").alias("m")), ["first", "m"]).where("a < b").select("a", "b")
+    heavy, every = posts.where("not light").select(F.col("key").alias("u"), "g"), posts.select(F.col("key").alias("v"), "g", "light")
+    scanned = heavy.join(every, "g").where("u != v and (light or u < v)").groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).count().where(F.col("count") >= c).select("a", "b")
+    # sets that can be of similarity t with fewer than c common elements
+    both = _both(t, c)
+    tiny = prefixes.where(f"n < {both}").select("key", "n", F.explode("prefix").alias("g"))
+    small = tiny.where(f"n <= {both // 2}").select(F.col("key").alias("u"), F.col("n").alias("m"), "g").join(tiny, "g").where(f"u != key and m + n <= {both}").select(F.least("u", "key").alias("a"), F.greatest("u", "key").alias("b"))
+    found = met.unionByName(scanned).unionByName(small).distinct()
+    for side in ("a", "b"):
+        found = found.join(groups.select(F.col("key").alias(side), F.struct("key", "sets", "low", "high").alias(f"g_{side}")), side)
+    return found.where((F.col("g_a.high") >= t * F.col("g_b.low")) & (F.col("g_b.high") >= t * F.col("g_a.low"))).select("g_a", "g_b")
+
+
+def _common(own: tuple, rows: np.ndarray, g: np.ndarray, v: int) -> np.ndarray:
+    """Numbers of common n-grams of a block's sets (lines) and v others (columns), whose postings are (rows, g).
+
+    own: (number of sets, distinct n-grams of the block, where the sets of each begin, these sets).
     """
-    large = written(pairs.groupBy("c1", "c2").count().where(F.col("count") > CELL).select("c1", "c2", F.ceil(F.col("count") / CELL).cast("int").alias("split")))
-    part = F.coalesce(F.pmod(F.xxhash64("k1"), F.col("split")), F.lit(0)).cast("int")
-    parts = pairs.join(large, ["c1", "c2"], "left").select("c1", "c2", part.alias("c3"), "k1", "k2")
-    wanted = parts.select(F.struct("c1", "c2", "c3").alias("c"), F.explode(F.array("k1", "k2")).alias("k")).groupBy("k").agg(F.collect_set("c").alias("cells"))
-    none = F.lit(None)
-    there = wanted.join(sets, "k").select(F.explode("cells").alias("c"), "k", "v").select("c.*", F.lit(0).alias("tag"), F.col("k").alias("k1"), none.cast("long").alias("k2"), "v")
-    line = there.unionByName(parts.select("c1", "c2", "c3", F.lit(1).alias("tag"), "k1", "k2", none.cast("binary").alias("v")))
-    names = ["k1", "k2", "c1", "c2"]
+    u, words, at, sets = own
+    out = np.zeros(u * v, np.int64)
+    if not len(words) or not len(g):
+        return out.reshape(u, v)
+    col = np.minimum(np.searchsorted(words, g), len(words) - 1)
+    hit = words[col] == g
+    col, rows = col[hit], rows[hit]
+    reps = at[col + 1] - at[col]
+    used = np.unique(col)
+    if SPARSE_NS * reps.sum() <= DENSE_NS * u * v * len(used):
+        ends = np.cumsum(reps)
+        a = 0
+        while a < len(col):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 22), "right")))
+            r = reps[a:b]
+            begin = np.repeat(at[col[a:b]] - (np.cumsum(r) - r), r)
+            line = sets[begin + np.arange(r.sum())]
+            out += np.bincount(line * v + np.repeat(rows[a:b], r), minlength=u * v)
+            a = b
+        return out.reshape(u, v)
+    total = np.zeros((u, v), np.float32)
+    order = np.argsort(col, kind="stable")
+    col, rows = col[order], rows[order]
+    step = max(1, (1 << 23) // (u + v))
+    for i in range(0, len(used), step):
+        some = used[i : i + step]
+        left, right = np.zeros((u, len(some)), np.float32), np.zeros((len(some), v), np.float32)
+        r = at[some + 1] - at[some]
+        left[sets[np.repeat(at[some] - (np.cumsum(r) - r), r) + np.arange(r.sum())], np.repeat(np.arange(len(some)), r)] = 1
+        x, y = np.searchsorted(col, some[0]), np.searchsorted(col, some[-1], "right")
+        right[np.searchsorted(some, col[x:y]), rows[x:y]] = 1
+        total += left @ right
+    return total.astype(np.int64)
+
+
+class _Cell:
+    """A block of sets, the links found of each, and its parts that are known to be connected."""
+
+    def __init__(self, sid, n, w, g, first: bool, t: float):
+        self.sid, self.n, self.w, self.t = sid, n, w, t
+        flat = np.concatenate([unpack48(x) for x in g]) if g else np.zeros(0, np.uint64)
+        line = np.repeat(np.arange(len(g)), [len(x) // 6 for x in g])
+        order = np.argsort(flat, kind="stable")
+        at = _starts(flat[order])
+        self.own = (len(g), flat[order][at[:-1]], at, line[order])
+        self.links, self.part = np.zeros(len(g), np.int64), np.arange(len(g))
+        if first:
+            linked = self._linked(_common(self.own, line, flat, len(g)), n)
+            np.fill_diagonal(linked, True)
+            self.links += linked @ w - w
+            self._connect(linked)
+
+    def _linked(self, common, n):
+        union = self.n[:, None] + n[None, :] - common
+        return (common > 0) & (common >= self.t * union - 1e-9)
+
+    def _connect(self, linked):
+        """Lets what is linked be of one part: the least of both, until nothing changes."""
+        u = len(self.part)
+        if not u or not linked.any():
+            return
+        while True:
+            of = np.where(linked, self.part[:, None], u).min(0)
+            low = np.minimum(self.part, np.where(linked, of[None, :], u).min(1))
+            least = np.full(u, u)
+            np.minimum.at(least, self.part, low)
+            new = least[self.part]
+            if (new == self.part).all():
+                return
+            self.part = new
+
+    def visit(self, sid, n, w, g):
+        """Of those visitors that have links: (sid, links, a set of the block that each is connected with)."""
+        if not len(self.sid):  # a block may have got no set of its group
+            return (np.zeros(0, np.int64),) * 3
+        flat = np.concatenate([unpack48(x) for x in g])
+        linked = self._linked(_common(self.own, np.repeat(np.arange(len(g)), [len(x) // 6 for x in g]), flat, len(g)), n)
+        self.links += linked @ w
+        self._connect(linked)
+        any_of = linked.any(0)
+        return sid[any_of], (self.w @ linked)[any_of], self.sid[self.part[linked.argmax(0)[any_of]]]
+
+    def end(self):
+        found = self.links > 0
+        return self.sid[found], self.links[found], self.sid[self.part[found]]
+
+
+def _cells(prefixes: DataFrame, groups: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
+    """(sid, links, other): number of rows of other sets that are linked with a set, in a cell, and a set that it is connected with."""
+    a_home = (F.col("g_a.sets") > F.col("g_b.sets")) | ((F.col("g_a.sets") == F.col("g_b.sets")) & (F.col("g_a.key") < F.col("g_b.key")))
+    sides = written(pairs.select(F.when(a_home, F.col("g_a")).otherwise(F.col("g_b")).alias("home"), F.when(a_home, F.col("g_b")).otherwise(F.col("g_a")).alias("guest")).select(F.col("home.key").alias("home"), F.col("guest.key").alias("key"), F.col("guest.sets").alias("guests")))
+    came = sides.groupBy(F.col("home").alias("key")).agg(F.sum("guests").alias("guests"))
+    blocks = F.greatest(F.ceil(F.col("elements") / BLOCK), F.ceil(F.col("sets") / MEMBERS)).cast("int").alias("blocks")
+    homes = groups.join(came, "key", "left").where("sets > 1 or guests is not null").select("key", blocks, F.ceil(F.greatest(F.lit(1), (F.coalesce("guests", F.lit(0)) + F.col("sets")) / VISITS)).cast("int").alias("parts"))
+    homes = written(homes)
+    of = lambda count: F.pmod(F.xxhash64("sid"), F.col(count)).cast("int")
+    body = ["sid", "n", "w", "g"]
+    own = prefixes.select("key", *body).join(homes, "key").withColumn("block", of("blocks"))
+    members = own.select("key", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("tag"), *body)
+    visitor = lambda home, block: (F.col(home).alias("key"), F.explode(block).alias("block"), F.pmod(F.xxhash64("sid", F.lit(1)), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("tag"), *body)
+    later = own.where("block + 1 < blocks").select(*visitor("key", F.sequence(F.col("block") + 1, F.col("blocks") - 1)))
+    to = sides.select("home", "key").join(homes.select(F.col("key").alias("home"), "blocks", "parts"), "home")
+    guests = prefixes.select("key", *body).join(to, "key").select(*visitor("home", F.sequence(F.lit(0), F.col("blocks") - 1)))
+    line = members.unionByName(later).unionByName(guests)
+
+    def batch(sid, links, other):
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (sid, links, other)], ["sid", "links", "other"])
 
     def sweep(batches):
-        at, own = None, {}
-        for b in batches:
-            x, y, rows = [], [], []
-            values = b.column("v")
-            for i, (c1, c2, c3, tag, k1, k2) in enumerate(zip(*(b.column(c).to_pylist() for c in ("c1", "c2", "c3", "tag", "k1", "k2")))):
-                if (c1, c2, c3) != at:
-                    at, own = (c1, c2, c3), {}
-                if not tag:
-                    own[k1] = values[i].as_py()
-                else:
-                    x.append(own[k1])
-                    y.append(own[k2])
-                    rows.append(i)
-            if not rows:
-                continue
-            stays, found = judge(x, y)
-            take = pa.array(np.asarray(rows, np.int64)[stays])
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in names), *found], [*names, *(c.split()[0] for c in more)])
-
-    return line.repartition("c1", "c2", "c3").sortWithinPartitions("c1", "c2", "c3", "tag").mapInArrow(sweep, ", ".join(["k1 long", "k2 long", "c1 int", "c2 int", *more]))
-
-
-def _pack_udf():
-    @F.arrow_udf("binary")
-    def pack(own: pa.Array, following: pa.Array) -> pa.Array:
-        """Drawn sets as bytes: own's level and length, own, next."""
-        flat, off = [], []
-        for s in (own, following):
-            flat.append(s.values.to_numpy(zero_copy_only=False))
-            off.append(s.offsets.to_numpy())
-        out = []
-        for i in range(len(own)):
-            a, b = (f[o[i] : o[i + 1]] for f, o in zip(flat, off))
-            level = (a[0] if len(a) else b[0] - 1 if len(b) else 0) & 7
-            out.append(np.concatenate(([level, len(a)], a >> 3, b >> 3)).astype(np.int64).tobytes())
-        return pa.array(out, pa.binary())
-
-    return pack
-
-
-def _sketch_judge(sketch_t: float):
-    def judge(x, y):
-        """Pairs that both drawn sets, at the higher of their levels, leave possible."""
-        cache: dict[int, np.ndarray] = {}
-
-        def read(v: bytes) -> np.ndarray:
-            if id(v) not in cache:
-                cache[id(v)] = np.frombuffer(v, np.int64)
-            return cache[id(v)]
+        at, cell, held = None, None, []
 
-        p, q = [read(v) for v in x], [read(v) for v in y]
-        own, other = [], []
-        for a, b in zip(p, q):
-            top = max(a[0], b[0])
-            own.append(a[2 : 2 + a[1]] if a[0] == top else a[2 + a[1] :])
-            other.append(b[2 : 2 + b[1]] if b[0] == top else b[2 + b[1] :])
-        o = _overlaps(own, other)
-        all_of = np.asarray([len(a) + len(b) for a, b in zip(own, other)], np.int64) - o
-        return o >= sketch_t * all_of, []
+        def opened():
+            return _Cell(*(np.asarray([h[i] for h in held], np.int64) for i in range(3)), [h[3] for h in held], at[2] == 0, t)
 
-    return judge
-
-
-def _full_judge(t: float):
-    def judge(x, y):
-        """Pairs of similarity t or more, with it."""
-        cache: dict[int, np.ndarray] = {}
-
-        def read(v: bytes) -> np.ndarray:
-            if id(v) not in cache:
-                cache[id(v)] = np.frombuffer(v, np.uint32)
-            return cache[id(v)]
-
-        p, q = [read(v) for v in x], [read(v) for v in y]
-        o = _overlaps(p, q)
-        j = o / np.maximum(np.asarray([len(a) + len(b) for a, b in zip(p, q)], np.int64) - o, 1)
-        stays = j >= t
-        return stays, [pa.array(j[stays])]
-
-    return judge
-
-
-def row_key(df: DataFrame):
-    """One number for rows of one id and text."""
-    return F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("doc_id").isNull(), F.coalesce(F.col("text"), F.lit("")))
-
-
-def _keys(keys: DataFrame) -> DataFrame:
-    """keys written, and marked for broadcast if they are FEW: then what they pick from, texts above all, stays where it is."""
-    keys = written(keys)
-    return F.broadcast(keys) if keys.count() <= FEW else keys
-
-
-def _once(rows: DataFrame, key: str, again: DataFrame) -> DataFrame:
-    """rows with one row of each key. again: _keys() of the keys that are there more than once, so that only those rows move."""
-    same = F.col(key) == F.col("again")
-    return rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates([key]))
-
-
-def _repeated(sig: DataFrame) -> DataFrame:
-    return _keys(sig.groupBy("k").count().where("count > 1").select(F.col("k").alias("again")))
+        for b in batches:
+            places = list(zip(*(b.column(c).to_pylist() for c in ("key", "block", "part"))))
+            tag = b.column("tag").to_numpy()
+            sid, n, w = (b.column(c).to_numpy() for c in ("sid", "n", "w"))
+            g = b.column("g")
+            i = 0
+            while i < len(places):
+                if places[i] != at:
+                    if held:
+                        cell = opened()
+                    if cell is not None:
+                        yield batch(*cell.end())
+                    at, cell, held = places[i], None, []
+                if not tag[i]:
+                    held.append((sid[i], n[i], w[i], g[i].as_py()))
+                    i += 1
+                    continue
+                if cell is None:
+                    cell, held = opened(), []
+                j, size = i, 0
+                while j < len(places) and places[j] == at and j - i < MEMBERS and size < BLOCK:
+                    size += len(g[j].as_buffer()) // 6
+                    j += 1
+                yield batch(*cell.visit(sid[i:j], n[i:j], w[i:j], [x.as_py() for x in g[i:j]]))
+                i = j
+        if held:
+            cell = opened()
+        if cell is not None:
+            yield batch(*cell.end())
+
+    return line.repartition("key", "block", "part").sortWithinPartitions("key", "block", "part", "tag").mapInArrow(sweep, "sid long, links long, other long")
 
 
 def boundary(costs: list[tuple[int, int, float]], c: int = C) -> int:
@@ -345,91 +546,6 @@ def boundary(costs: list[tuple[int, int, float]], c: int = C) -> int:
     return x
 
 
-def _tiny(rest: DataFrame, t: float, c: int) -> DataFrame:
-    """Pairs (a, b) of structs (k, m, n) that can be of similarity t with fewer than c elements in common.
-
-    o common elements allow o * (1 + 1 / t) elements of both sets together, so both are tiny, and drawn as a whole.
-    """
-    both = int((c - 1) * (1 + 1 / t) + 1e-9)
-    posts = rest.where(f"n < {both}").select(F.struct("k", "m", "n").alias("s"), F.explode("own").alias("g"))
-    a, b = posts.where(f"s.n <= {both // 2}").select(F.col("s").alias("a"), "g"), posts.select(F.col("s").alias("b"), "g")
-    met = a.join(b, "g").where(f"a.k != b.k and a.n + b.n <= {both}")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-
-def signatures(docs: DataFrame, n: int = N, m: int = M, top: int = TOP) -> DataFrame:
-    """(doc_id, k, n, m, f1, f2, own, next) of each row with an n-gram: its key, the size, block and prints of its set, and the drawn ones."""
-    return written(docs.select("doc_id", row_key(docs).alias("k"), _signature_udf(n, m, top)("text").alias("s")).where("s.n > 0").select("doc_id", "k", "s.*"))
-
-
-def _copies_and_near(docs: DataFrame, n: int = N, t: float = T, c: int = C, sketch_t: float = SKETCH_T, m: int = M, top: int = TOP, sig: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """links() in two: equal sets, each with the least of their documents, and different sets."""
-    sig = signatures(docs, n, m, top) if sig is None else sig
-    sets = sig.groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "k")).alias("r"), F.max(F.struct("doc_id", "k")).alias("z"))
-    copies_of = sets.where("r < z").drop("z").join(sig, ["n", "f1", "f2"]).where("k != r.k").select(F.col("r.k").alias("k_a"), F.col("r.doc_id").alias("a"), F.col("k").alias("k_b"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard")).distinct()
-    # one row of each set, with its drawn elements: copies go by their keys, so that only here the sets move
-    gone = _keys(copies_of.select(F.col("k_b").alias("k")).distinct())
-    rest = written(_once(sig.select("k", "n", "m", "own", "next").join(gone, "k", "left_anti"), "k", _repeated(sig)))
-    posts = rest.select("k", F.explode(F.array("own", "next")).alias("e")).where(F.size("e") >= c).select("k", F.size("e").alias("s"), F.explode("e").alias("g"))
-    df = posts.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    live = posts.join(df, "g").repartition("k")
-    lists = live.groupBy("k", F.col("g").bitwiseAND(F.lit(7)).alias("level"), "s").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("e"))
-    # rarest first: the s - size(e) elements of df 1 come before the live ones
-    take = F.col("s") - F.ceil(F.col("s") * sketch_t) + c - (F.col("s") - F.size("e"))
-    lists = lists.withColumn("take", take.cast("int")).withColumn("live", F.size("e")).where(f"take >= {c}").withColumn("e", F.slice("e", 1, F.col("take"))).where(F.size("e") >= c)
-    # own: drawn at the set's own level. Sets are compared at the higher of their levels, so one of a pair must be there by its own
-    at = rest.select("k", "m", "n", F.expr("own[0] & 7").alias("at"))
-    prefixes = written(lists.join(at, "k").select(F.struct("k", "m", "n", F.coalesce(F.col("at") == F.col("level"), F.lit(False)).alias("own"), "s", "live").alias("a"), F.transform("e", lambda x: x["g"]).alias("p"), F.aggregate("e", F.lit(0).cast("long"), lambda acc, x: acc + x["df"]).alias("scan")))
-    x = boundary([(r.q, r.sets, float(r.scan)) for r in prefixes.groupBy(F.size("p").alias("q")).agg(F.count("*").alias("sets"), F.sum("scan").alias("scan")).collect()], c)
-    small = F.size("p") <= x
-    # two sets have no more in common than either has elements that aren't its own alone
-    apart = (F.col("a.own") | F.col("b.own")) & (F.least("a.live", "b.live") * (1 + sketch_t) >= sketch_t * (F.col("a.s") + F.col("b.s")))
-    # subsets go by their first element: what two sets share beside it then meets in one task, and each pair leaves it once
-    keys = prefixes.where(small).select("a", F.explode(_subsets_udf(c)("p")).alias("s")).select("a", "s.first", "s.key").repartition("first")
-    same = keys.groupBy("first", "key").agg(F.sort_array(F.collect_list("a")).alias("all")).where("size(all) > 1")
-    met = same.select("first", "all", F.posexplode("all").alias("i", "a")).where("i + 1 < size(all)").select("first", "a", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("b")).where("a.k < b.k").where(apart)
-    met = _possible(met, t).dropDuplicates(["first", "k1", "k2"]).drop("first")
-    heavy = prefixes.where(~small).select("a", F.explode("p").alias("g"))
-    every = prefixes.select(F.col("a").alias("b"), small.alias("small"), F.explode("p").alias("g"))
-    scanned = heavy.join(every, "g").where("a.k != b.k and (small or a.k < b.k)").where(apart)
-    scanned = scanned.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("g & 7").alias("level")).count().where(f"count >= {c}")
-    # pairs of the same cell are judged in one place, so that is where they go to be found the same
-    pairs = met.unionByName(_possible(scanned.select("a", "b"), t)).unionByName(_possible(_tiny(rest, t, c), t)).repartition("c1", "c2").dropDuplicates(["c1", "c2", "k1", "k2"])
-    pairs = written(pairs)
-    # both drawn sets at the higher of the two levels decide which pairs are looked at in full
-    seen = written(_met(pairs, rest.select("k", _pack_udf()("own", "next").alias("v")), _sketch_judge(sketch_t)))
-    wanted = _keys(seen.select(F.explode(F.array("k1", "k2")).alias("k")).distinct())
-    full = docs.select("doc_id", row_key(docs).alias("k"), "text").join(wanted, "k", "left_semi").select("k", "doc_id", _full_set_udf(n)("text").alias("v")).groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.max("v").alias("v"))
-    full = written(full)
-    near = _met(seen, full.select("k", "v"), _full_judge(t), ("jaccard double",)).select("k1", "k2", "jaccard")
-    one, two = (full.select(F.col("k").alias(f"k{i}"), F.col("doc_id").alias(f"d{i}")) for i in (1, 2))
-    near = near.join(one, "k1").join(two, "k2")
-    first, second = (f(F.struct(F.col("d1").alias("doc_id"), F.col("k1").alias("k")), F.struct(F.col("d2").alias("doc_id"), F.col("k2").alias("k"))) for f in (F.least, F.greatest))
-    near = near.select(first.alias("u"), second.alias("v"), "jaccard").select(F.col("u.k").alias("k_a"), F.col("u.doc_id").alias("a"), F.col("v.k").alias("k_b"), F.col("v.doc_id").alias("b"), "jaccard")
-    return copies_of, near
-
-
-def links(docs: DataFrame, **how) -> DataFrame:
-    """(k_a, a, k_b, b, jaccard): links between rows, by row_key and doc_id; (a, k_a) is less than (b, k_b).
-
-    Equal sets are linked to the least of their documents only; all others with each partner. Rows that are
-    the same in id and text are one. A null or empty text, or one without any word, has no n-gram and no link.
-    A null doc_id sorts first, as in Spark. how: parameters, and sig: signatures(docs), if there already.
-    """
-    copies_of, near = _copies_and_near(docs, **how)
-    return copies_of.unionByName(near)
-
-
-def jaccard_pairs(docs: DataFrame, **how) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b, of similarity T or more; see links() for which.
-
-    Rows with a null doc_id can't be named: they are left out. Rows that share a doc_id are not paired with
-    each other. Columns besides doc_id and text are not read.
-    """
-    found = links(docs.where("doc_id is not null"), **how).where("a != b")
-    return found.groupBy(F.col("a").alias("doc_a"), F.col("b").alias("doc_b")).agg(F.round(F.max("jaccard"), 4).alias("jaccard"))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(k, root): the least node of the component of every node of edges (u, v), by large and small stars.
 
@@ -453,40 +569,98 @@ def components(edges: DataFrame) -> DataFrame:
         last = now
 
 
+def linked(docs: DataFrame, n: int = N, t: float = T, c: int = C) -> tuple[DataFrame, DataFrame]:
+    """(rows, sets): (doc_id, k, n, sid) of each row, and (sid, root, links) of each set that is linked or of several rows.
+
+    links: the other rows, of its set or of another, whose sets are of similarity t or more. root: the same for all sets
+    that links connect. n is 0, and sid without meaning, for a null or empty text and one without any word.
+    """
+    sig, hot = signatures(docs, n)
+    sets = written(sig.where("n > 0").groupBy("n", "sid", "f2").agg(F.count("*").alias("w")))
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    bits = min(30, max(1, ceil(np.log2(max(1, total / PER_BUCKET)))))
+    set_bits = min(30, max(1, ceil(np.log2(max(1, total / 4 / PER_SETS)))))
+    live = _live(_scatter(docs, n, bits, hot), bits, set_bits)
+    prefixes = written(_prefixes(live, sets, set_bits, t, c))
+    groups = written(prefixes.groupBy("key").agg(F.count("*").alias("sets"), F.sum(F.length("g") / 6).alias("elements"), F.min("n").alias("low"), F.max("n").alias("high")))
+    found = written(_cells(prefixes, groups, _group_pairs(prefixes, groups, t, c), t))
+    near = found.groupBy("sid").agg(F.sum("links").alias("near"))
+    roots = components(found.select(F.col("sid").alias("u"), F.col("other").alias("v")))
+    more = sets.where("w > 1").select("sid", (F.col("w") - 1).alias("copies"))
+    several = near.join(more, "sid", "full").join(roots.withColumnRenamed("k", "sid"), "sid", "left")
+    return sig.drop("f2"), written(several.select("sid", F.coalesce("root", "sid").alias("root"), (F.coalesce("near", F.lit(0)) + F.coalesce("copies", F.lit(0))).alias("links")))
+
+
+def classes(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, class_id, links), one row for each row of docs.
+
+    links: how many other rows are of similarity T or more, copies and rows with the same doc_id too. class_id: the
+    least doc_id of all rows that links connect with this one; its own if it has none. A null doc_id counts as a row but
+    names no class, unless all are null. A null or empty text, or one without a word, has no n-gram and no link. doc_id may be of
+    any type that can be ordered. Columns besides doc_id and text are not read.
+    """
+    rows, sets = linked(docs, **how)
+    known = rows.where("n > 0").select("doc_id", "sid").join(sets, "sid")
+    least = known.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    named = sets.join(least, "root").select("sid", "class_id", "links")
+    alone = F.when(F.col("n") > 0, F.col("sid"))
+    out = rows.withColumn("sid", alone).join(named, "sid", "left")
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def _keys(keys: DataFrame) -> DataFrame:
+    """keys written, and marked for broadcast if they are FEW: then what they pick from, texts above all, stays where it is."""
+    keys = written(keys)
+    return F.broadcast(keys) if keys.count() <= FEW else keys
+
+
+def _once(rows: DataFrame, key: str, again: DataFrame) -> DataFrame:
+    """rows with one row of each key. again: _keys() of the keys that are there more than once, so that only those rows move."""
+    same = F.col(key) == F.col("again")
+    return rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates([key]))
+
+
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """docs without all but one row of each group of linked rows: the one of the least (doc_id, row_key) stays.
+    """docs without all but one row of each class of classes(): the one of the least (doc_id, row_key) stays, null first.
 
     Of rows that are the same in id and text one stays, if they have any n-gram: any one, should they differ in other
     columns. Texts without a word stay as they are.
     """
-    sig = signatures(docs, **{x: how[x] for x in ("n", "m", "top") if x in how})
-    found = written(links(docs, **how, sig=sig).select(F.struct(F.col("a").alias("doc_id"), F.col("k_a").alias("k")).alias("v"), F.struct(F.col("b").alias("doc_id"), F.col("k_b").alias("k")).alias("u")))
-    goes = _keys(components(found).select(F.col("k.k").alias("own")).distinct())
+    rows, sets = linked(docs, **how)
+    known = rows.where("n > 0").join(sets, "sid").select("root", "k", F.struct("doc_id", "k").alias("row"))
+    least = known.groupBy("root").agg(F.min("row").alias("stays"))
+    goes = _keys(known.join(least, "root").where("k != stays.k").select(F.col("k").alias("own")).distinct())
+    again = _keys(rows.where("n > 0").groupBy(F.col("k").alias("again")).count().where("count > 1").select("again"))
     # docs' columns go through as a struct: their names may be any
-    rows = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"), row_key(docs).alias("own"))
-    return _once(rows.join(goes, "own", "left_anti"), "own", _repeated(sig)).select("row.*")
+    whole = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"), row_key(docs).alias("own"))
+    return _once(whole.join(goes, "own", "left_anti"), "own", again).select("row.*")
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_pairs(table(spark, sf_dir, "documents"))
+    return classes(table(spark, sf_dir, "documents"))
 
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 SQL = rf"""
-with words as (
-  select doc_id, regexp_extract_all(translate(text, {_LETTERS}), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') as w from documents where doc_id is not null and text is not null
+with recursive docs as (
+  select row_number() over () as i, doc_id, coalesce(text, '') as text from documents
+), words as (
+  select i, regexp_extract_all(translate(text, {_LETTERS}), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') as w from docs
 ), sets as (
-  select doc_id, list_sort(list_distinct(case when len(w) < {N} then [array_to_string(w, ' ')]
-    else list_transform(generate_series(1, len(w) - {N} + 1), lambda i: array_to_string(w[i:i + {N} - 1], ' ')) end)) as s from words where len(w) > 0
-), first as (
-  select s, min(doc_id) as r from sets group by s
-), copies as (
-  select r as doc_a, doc_id as doc_b, 1.0::double as jaccard from sets join first using (s) where doc_id <> r
+  select i, list_distinct(case when len(w) < {N} then [array_to_string(w, ' ')]
+    else list_transform(generate_series(1, len(w) - {N} + 1), lambda i: array_to_string(w[i:i + {N} - 1], ' ')) end) as s from words where len(w) > 0
 ), posts as (
-  select r, len(s) as n, unnest(s) as g from first
-), near as (
-  select a.r as doc_a, b.r as doc_b, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) as jaccard
-  from posts a join posts b on a.g = b.g and a.r < b.r group by a.r, b.r
+  select i, len(s) as n, unnest(s) as g from sets
+), pairs as (
+  select a.i as a, b.i as b from posts a join posts b on a.g = b.g and a.i <> b.i
+  group by a.i, b.i having count(*) >= {T} * (any_value(a.n) + any_value(b.n) - count(*))
+), reach(a, b) as (
+  select i, i from docs union select reach.a, pairs.b from reach join pairs on reach.b = pairs.a
+), named as (
+  select reach.a, min(docs.doc_id) as class_id from reach join docs on reach.b = docs.i group by reach.a
+), counted as (
+  select a, count(*) as links from pairs group by a
 )
-select doc_a, doc_b, jaccard from copies union all select doc_a, doc_b, round(jaccard, 4) from near where jaccard >= {T}
+select doc_id, coalesce(class_id, doc_id) as class_id, coalesce(links, 0)::bigint as links
+from docs join named on docs.i = named.a left join counted on docs.i = counted.a
 """

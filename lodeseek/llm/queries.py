@@ -10,7 +10,6 @@ MODULES = {
     "op2_tiff": "tiff",
     "op3_license_scans": "license_scan",
     "op4_ngram_jaccard": "ngram_join",
-    "op4_ngram_jaccard_pairs": "ngram_pairs",
     "op5_warc": "warc",
     "op6_quality_classifier": "cotraining",
     "op7_url_filters": "urlfilter",

@@ -3,7 +3,9 @@ import random
 import numpy as np
 import pytest
 
-from llm_helpers import WORDS, messy_rows, prose, rows_of
+from llm_helpers import SCHEMA, WORDS, messy_rows, prose, rows_of
+from pyspark.sql import functions as F
+
 from lodeseek.llm import ngram_join as nj
 
 
@@ -25,24 +27,20 @@ def grams(text, n=nj.N):
 
 
 def brute(rows, t=nj.T):
-    """Pairs as jaccard_pairs() gives them: of equal sets, the least id with each other one; else of the least ids."""
-    sets = {}
-    for i, text, *_ in rows:
-        if i is not None and grams(text):
-            sets.setdefault(grams(text), set()).add(i)
-    out = {}
-    for s, own in sets.items():
-        for i in own - {min(own)}:
-            out[min(own), i] = 1.0
-    keys = list(sets)
-    for x in range(len(keys)):
-        for y in range(x):
-            a, b = keys[x], keys[y]
-            j = len(a & b) / len(a | b)
-            i, k = min(sets[a]), min(sets[b])
-            if j >= t and i != k:
-                out[min(i, k), max(i, k)] = round(j, 4)
-    return out
+    """(doc_id, class_id, links) of each row, each row against each."""
+    own = [grams(r[1]) for r in rows]
+    root, links = list(range(len(rows))), [0] * len(rows)
+    for x, a in enumerate(own):
+        for y, b in enumerate(own[:x]):
+            if a and b and len(a & b) >= t * len(a | b):
+                links[x] += 1
+                links[y] += 1
+                root = [root[y] if r == root[x] else r for r in root]
+    out = []
+    for x, r in enumerate(rows):
+        ids = [rows[y][0] for y in range(len(rows)) if root[y] == root[x] and rows[y][0] is not None]
+        out.append((r[0], min(ids, default=None) if own[x] else r[0], links[x]))
+    return sorted(out, key=repr)
 
 
 def near_copies(seed, groups=12):
@@ -59,33 +57,64 @@ def near_copies(seed, groups=12):
     return rows
 
 
-def check(got, expect):
-    got = {(r[0], r[1]): r[2] for r in got}
-    assert set(got) <= set(expect) and all(abs(got[p] - expect[p]) < 2e-4 for p in got)
-    missed = set(expect) - set(got)
-    assert not {p for p in missed if expect[p] > 0.7}
-    assert len(missed) <= 0.1 * len(expect)
+def frame(spark, rows, parts=3):
+    return spark.createDataFrame(rows, SCHEMA).repartition(parts)
 
 
 def test_messy(spark, messy, clashing):
-    got = rows_of(nj.jaccard_pairs(messy))
-    check(got, brute(messy_rows()))
-    assert rows_of(nj.jaccard_pairs(clashing)) == got
+    got = rows_of(nj.classes(messy))
+    assert got == brute(messy_rows())
+    assert rows_of(nj.classes(clashing)) == got
 
 
-@pytest.mark.parametrize("x", [None, 0, 10**6])
+@pytest.mark.parametrize("x", [0, 10**6])
 def test_light_and_heavy_give_the_same(spark, monkeypatch, x):
-    """Whatever the boundary: by cost, all sets by lists, all by subsets."""
+    """Whatever the boundary: all groups by lists, all by subsets (by cost in the other tests)."""
     rows = near_copies(1)
-    if x is not None:
-        monkeypatch.setattr(nj, "boundary", lambda *a: x)
-    check(rows_of(nj.jaccard_pairs(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))), brute(rows))
+    monkeypatch.setattr(nj, "boundary", lambda *a: x)
+    assert rows_of(nj.classes(frame(spark, rows))) == brute(rows)
 
 
-def test_split_cells_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(nj, "CELL", 2)
+def test_however_the_work_is_split(spark, monkeypatch):
+    for name, value in (("MEMBERS", 2), ("VISITS", 3), ("BLOCK", 500), ("PER_BUCKET", 100), ("PER_SETS", 50), ("SPARSE_NS", 0.0)):
+        monkeypatch.setattr(nj, name, value)
     rows = near_copies(1)
-    check(rows_of(nj.jaccard_pairs(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))), brute(rows))
+    assert rows_of(nj.classes(frame(spark, rows))) == brute(rows)
+
+
+def test_sets_alone_in_their_groups(spark, monkeypatch):
+    """Groups of one set each, so that all links go through the join of groups."""
+    rows = near_copies(2)
+    plain = nj._prefixes
+    monkeypatch.setattr(nj, "_prefixes", lambda *a: plain(*a).withColumn("key", F.col("sid")))
+    assert rows_of(nj.classes(frame(spark, rows))) == brute(rows)
+
+
+def test_a_passage_of_very_many_rows(spark):
+    """Its n-grams skip the buckets: alone, as most of a short text, and as little of a long one."""
+    rnd = random.Random(3)
+    passage = prose(rnd, 70)
+    rows = [(i, f"{passage} {prose(rnd, rnd.choice([0, 10, 40, 70, 300]))}", "en", "s", 1) for i in range(90)]
+    sig, hot = nj.signatures(frame(spark, rows, 1))
+    assert hot and sig.count() == 90
+    assert rows_of(nj.classes(frame(spark, rows, 1))) == brute(rows)
+
+
+def test_other_ids(spark):
+    rows = near_copies(5, 4)
+    got = rows_of(nj.classes(spark.createDataFrame([(f"d{r[0]:05}", r[1]) for r in rows], "doc_id string, text string")))
+    assert got == sorted([(f"d{a:05}", f"d{b:05}", n) for a, b, n in brute(rows)], key=repr)
+
+
+def test_dense_and_sparse_products_agree(monkeypatch):
+    rnd = np.random.default_rng(4)
+    own, other = ([np.unique(rnd.integers(0, 300, rnd.integers(0, 90))).astype(np.uint64) for _ in range(k)] for k in (23, 17))
+    cells = []
+    for ns in (0.0, 1e9):
+        monkeypatch.setattr(nj, "SPARSE_NS", ns)
+        cell = nj._Cell(np.arange(23), np.asarray([len(x) for x in own]), np.ones(23, np.int64), [nj.pack48(x) for x in own], True, 0.5)
+        cells.append(nj._common(cell.own, np.repeat(np.arange(17), [len(x) for x in other]), np.concatenate(other), 17))
+    assert (cells[0] == cells[1]).all() and (cells[0] == [[len(np.intersect1d(a, b)) for b in other] for a in own]).all()
 
 
 def test_boundary_is_of_least_cost():
@@ -99,30 +128,24 @@ def test_boundary_is_of_least_cost():
 
 
 def test_empty(spark, empty):
-    assert nj.jaccard_pairs(empty).count() == 0 and nj.one_of_each(empty).columns == empty.columns and nj.one_of_each(empty).count() == 0
+    assert nj.classes(empty).count() == 0 and nj.one_of_each(empty).columns == empty.columns and nj.one_of_each(empty).count() == 0
     no_words = spark.createDataFrame([(1, "", "", "", 1), (2, None, "", "", 1), (3, "!!", "", "", 1)], empty.schema)
-    assert nj.jaccard_pairs(no_words).count() == 0 and nj.one_of_each(no_words).count() == 3
+    assert rows_of(nj.classes(no_words)) == [(1, 1, 0), (2, 2, 0), (3, 3, 0)] and nj.one_of_each(no_words).count() == 3
 
 
 def survivors(rows):
-    pairs = brute([(i, *r[1:]) for i, r in enumerate(rows)])
-    root = list(range(len(rows)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in pairs:
-        root[find(b)] = find(a)
     best = {}
-    for i, r in enumerate(rows):
+    for r, (_, root, _) in zip(rows, by_place(rows)):
         if grams(r[1]):
-            best.setdefault(find(i), []).append(r)
+            best.setdefault(root, []).append(r)
     stays = [min(v, key=lambda r: (r[0] is not None, r[0] or 0)) for v in best.values()]
     return sorted([tuple(r) for r in stays] + [tuple(r) for r in rows if not grams(r[1])], key=repr)
 
 
+def by_place(rows):
+    return sorted(brute([(i, *r[1:]) for i, r in enumerate(rows)]))
+
+
 def test_one_of_each_group_stays(spark, messy, clashing):
     kept = nj.one_of_each(messy)
     assert kept.columns == messy.columns
@@ -165,9 +188,9 @@ def test_hashing_is_as_words():
     assert np.bincount(rows, minlength=len(texts)).tolist() == [len(grams(t)) for t in texts]
 
 
-def test_rows_without_an_id_are_linked_but_not_named(spark):
-    df = spark.createDataFrame([(None, "same words here and there", "", "", 1), (4, "same words here and there", "", "", 1)], "doc_id long, text string, lang string, source string, n_chars long")
-    assert nj.jaccard_pairs(df).count() == 0
+def test_rows_without_an_id_are_linked(spark):
+    df = spark.createDataFrame([(None, "same words here and there", "", "", 1), (4, "same words here and there", "", "", 1)], SCHEMA)
+    assert rows_of(nj.classes(df)) == [(4, 4, 1), (None, 4, 1)]
     assert rows_of(nj.one_of_each(df).select("doc_id")) == [(None,)]
     assert nj.one_of_each(df.where("doc_id = 4").unionByName(df.where("doc_id = 4"))).count() == 1
 
@@ -175,6 +198,11 @@ def test_rows_without_an_id_are_linked_but_not_named(spark):
 def test_sets_with_one_common_n_gram(spark):
     """A set of one n-gram and one of two are of similarity 0.5."""
     rows = [(1, "a b c", "", "", 1), (2, "a b c d", "", "", 1), (3, "z a b c", "", "", 1), (4, "a b c d e", "", "", 1), (5, "a b", "", "", 1)]
-    expect = brute(rows)
-    assert expect[1, 2] == expect[1, 3] == 0.5
-    assert {(r[0], r[1]): r[2] for r in rows_of(nj.jaccard_pairs(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")))} == expect
+    assert rows_of(nj.classes(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+
+
+@pytest.mark.parametrize("t", [0.35, 0.8])
+def test_other_thresholds(spark, t):
+    rows = near_copies(7, 6) + [(900 + i, " ".join("abcdefgh"[i % 3 : i % 3 + n]), "", "", 1) for i, n in enumerate((1, 2, 3, 4, 5, 6, 4, 5))]
+    rows += [(950 + i, " ".join("abcdefgh"[i : i + 4 + i % 2]), "", "", 1) for i in range(4)]
+    assert rows_of(nj.classes(frame(spark, rows), t=t)) == brute(rows, t)
