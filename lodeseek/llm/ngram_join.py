@@ -39,7 +39,7 @@ N, T, C = 3, 0.5, 2
 #: An n-gram in more than one of so many rows of a batch, and of all rows, and in LEAST_HOT of a batch, skips the buckets.
 HOT, LEAST_HOT = 256, 32
 #: N-grams of a bucket, about, and those packed at once; live n-grams of a bucket of sets.
-PER_BUCKET, AT_ONCE, PER_SETS = 2_000_000, 4_000_000, 1_000_000
+PER_BUCKET, AT_ONCE, PER_SETS = 1_000_000, 1_500_000, 500_000
 #: Elements and sets of a block, sets that visit a cell, about.
 BLOCK, MEMBERS, VISITS = 1 << 20, 1024, 16_384
 #: Keys are sent to all executors up to so many, some 120 MB; more of them are joined by a shuffle.

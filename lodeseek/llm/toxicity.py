@@ -1,15 +1,16 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Five transducers are composed into one. The lexicon maps words to classes. Negation and reported speech
-rewrite insults and threats that stand in their scope (the next words of the clause; the rest of the clause)
+Transducers are composed into one. The lexicon maps words, and phrases word by word (the class comes with the last
+word, the longest phrase from a word counts), to classes. Negation and reported speech rewrite insults and threats that stand in their scope (the next words of the clause; the rest of the clause)
 to weaker classes. Target and threat patterns raise an insult that is aimed at someone near it, and a threat
 that has a victim. The last one weighs what is left. A clause's score is the weight of its path, and only
 clauses that the grammar matches (that hold an insult or a threat) score; a document's is their sum w, given
 as 1 - exp(-w).
 
-Besides a hand-written lexicon of four languages, insults are learned from labelled documents: words, at
-most LEARNED, that stand in many toxic and hardly any other of a bounded sample. A learned word's weight
-follows its odds, and one alone doesn't make a document toxic.
+Besides a hand-written lexicon of four languages, insults are learned from labelled documents: all words that stand in
+many toxic and hardly any other of a bounded sample. As each stands in SHARE of the toxic ones at least, there are at most
+1 / SHARE times the different words of a document. A learned word's weight follows its odds, and one alone doesn't make a
+document toxic; where the grammar has weakened it, it has WEAK of that weight.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ from lodeseek.llm.textfeat import _LOWER, _WORD, _power_tables, buffers, chunks
 
 #: A document of this score is toxic.
 TOXIC = 0.5
-#: Bound of the labelled documents of each class from which insults are learned, and of the words learned.
-SAMPLE, LEARNED = 2000, 400
+#: Bound of the labelled documents of each class from which insults are learned.
+SAMPLE = 2000
+#: Share of its weight that an insult keeps where it is negated or reported.
+WEAK = 0.2
 #: A learned word stands in so many toxic documents of the sample at least, this share of them, with these odds.
 LEAST, SHARE, ODDS = 4, 0.01, 40.0
 
@@ -46,7 +49,14 @@ NEGATIONS = "not never no isn aren wasn weren don doesn didn without nicht kein
 REPORTS = "said says say called calls quoted quote reported claimed claims according wrote sagte nannte zitierte laut dit disait appelé selon dijo llamó según citó"
 INTENTS = "will would shall gonna going want should werde wird will vais va veux voy va quiero"
 
-CLASSES = ("other", "insult", "learned", "threat", "target", "negation", "report", "intent")
+PHRASES = {
+    "insult": ("piece of trash", "piece of garbage", "piece of filth", "waste of space", "waste of oxygen", "scum of the earth", "stück dreck", "fils de pute", "hijo de puta"),
+    "menace": ("drop dead", "go to hell", "burn in hell", "rot in hell", "watch your back", "make you pay", "make you suffer", "end your life", "fahr zur hölle", "va au diable", "vete al infierno"),
+}
+
+CLASSES = ("other", "insult", "learned", "threat", "menace", "target", "negation", "report", "intent")
+#: Classes that make a clause match.
+MATCHED = ("insult", "learned", "threat", "menace")
 _WORDS = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
 #: A colon ends no clause: what is reported stands after it.
 _CLAUSE = re.compile(r"[.!?;\n]+")
@@ -102,7 +112,7 @@ def _near(first: str, then: dict[str, float], words: int) -> Fst:
 def grammar() -> Fst:
     """Negation, reported speech, target, victim and weights composed: from word classes to clause weights."""
     out = (*CLASSES, "weak", "weak learned")
-    weak = {"insult": "weak", "threat": "other", "learned": "weak learned"}
+    weak = {"insult": "weak", "threat": "other", "menace": "other", "learned": "weak learned"}
     parts = [
         _scope("negation", 3, weak),
         _scope("report", 0, weak),
@@ -110,7 +120,7 @@ def grammar() -> Fst:
         _near("insult", {"target": 0.3}, 2),  # idiot ... you
         _near("intent", {"threat": 0.3}, 3),  # will ... hurt
         _near("threat", {"target": 0.6}, 3),  # hurt ... you
-        Fst([{"insult": ("", 0.75, 0), "learned": ("", 0.0, 0), "weak": ("", 0.15, 0), "threat": ("", 0.05, 0)}], [0]),
+        Fst([{"insult": ("", 0.75, 0), "weak": ("", 0.75 * WEAK, 0), "threat": ("", 0.05, 0), "menace": ("", 0.7, 0)}], [0]),
     ]
     whole = parts[0]
     for p in parts[1:]:
@@ -120,36 +130,57 @@ def grammar() -> Fst:
 
 @dataclass
 class Toxicity:
-    """words: lowered word -> (class, weight besides the grammar's)."""
+    """words: lowered word -> (class, weight besides the grammar's). phrases: lowered words -> class."""
 
     words: dict[str, tuple[str, float]]
+    phrases: dict[tuple[str, ...], str] = field(default_factory=dict)
 
     def __post_init__(self):
         fst = grammar()
-        self.table = [{c: (fst.step(s, c)[1], fst.step(s, c)[2]) for c in CLASSES} for s in range(len(fst.arcs))]
-        hot = [w for w, (c, _) in self.words.items() if c in ("insult", "learned", "threat")]
+        own = {"learned": 1.0, "weak learned": WEAK}
+        # weight, next state, and the share of a learned word's own weight: by the class that the grammar makes of it
+        self.table = [{c: (fst.step(s, c)[1], fst.step(s, c)[2], own.get(fst.step(s, c)[0], 0.0)) for c in CLASSES} for s in range(len(fst.arcs))]
+        self.starts: dict[str, list[tuple[str, ...]]] = {}
+        for p in sorted(self.phrases, key=len, reverse=True):
+            self.starts.setdefault(p[0], []).append(p)
+        hot = [w for w, (c, _) in self.words.items() if c in MATCHED] + [p[-1] for p in self.phrases]
         # the vectorised search lowers ASCII only, so a word counts with a capital of any alphabet as well
         self.hashes = np.unique(_word_hashes({v for w in hot for v in (w, w.capitalize(), w.upper())}))
 
-    def clause(self, words: list[str]) -> float:
+    def classed(self, words: list[str]) -> list[tuple[str, float]]:
+        """Class of each word and its weight besides the grammar's."""
+        out, i = [], 0
+        while i < len(words):
+            found = next((p for p in self.starts.get(words[i], ()) if tuple(words[i : i + len(p)]) == p), None)
+            if found:
+                out += [("other", 0.0)] * (len(found) - 1) + [(self.phrases[found], 0.0)]
+                i += len(found)
+            else:
+                out.append(self.words.get(words[i], ("other", 0.0)))
+                i += 1
+        return out
+
+    def weigh(self, classed: list[tuple[str, float]]) -> float:
         state, total = 0, 0.0
-        for w in words:
-            cls, more = self.words.get(w, ("other", 0.0))
-            weight, nxt = self.table[state][cls]
-            total += weight + (more if cls == "learned" else 0.0)
-            state = nxt
+        for cls, more in classed:
+            weight, state, share = self.table[state][cls]
+            total += weight + more * share
         return total
 
+    def clause(self, words: list[str]) -> float:
+        return self.weigh(self.classed(words))
+
     def read(self, text: str) -> tuple[float, int, float, str]:
         """Weight, matched clauses, the heaviest one's weight and words."""
         total, n, most, what = 0.0, 0, 0.0, ""
         for part in _CLAUSE.split(text):
             words = [w.lower() for w in _WORDS.findall(part)]
-            if any(self.words.get(w, ("", 0))[0] in ("insult", "learned", "threat") for w in words):
-                w = self.clause(words)
+            classed = self.classed(words)
+            if any(c in MATCHED for c, _ in classed):
+                w = self.weigh(classed)
                 total, n = total + w, n + 1
                 if w > most:
-                    most, what = w, " ".join(x for x in words if x in self.words)
+                    most, what = w, " ".join(x for x, (c, _) in zip(words, classed) if c != "other")
         return total, n, most, what
 
 
@@ -180,7 +211,7 @@ def lexicon(learned: dict[str, float] | None = None) -> Toxicity:
         words |= {w: (cls, 0.0) for w in names.split()}
     for names in INSULTS.values():
         words |= {w: ("insult", 0.0) for w in names.split()}
-    return Toxicity(words)
+    return Toxicity(words, {tuple(p.split()): cls for cls, names in PHRASES.items() for p in names})
 
 
 def _distinct(texts: list[str]) -> list[int]:
@@ -202,7 +233,7 @@ def _distinct(texts: list[str]) -> list[int]:
 
 
 def learn(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> dict[str, float]:
-    """Insults of labelled documents and their weights; none without labels of both classes."""
+    """Insults of labelled documents and their weights; none without labels of both classes. Few labels give low odds, and so fewer insults."""
     rows = labelled_sample(documents, labels, target="toxic", per_class=per_class)
     texts, y = rows["text"].to_pylist(), rows["__y"].to_pylist()
     counts: list[dict[str, int]] = [{}, {}]
@@ -213,15 +244,14 @@ def learn(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> d
             sizes[c] += 1
             for w in {w.lower() for w in _WORDS.findall(own[i])}:
                 counts[c][w] = counts[c].get(w, 0) + 1
-    if min(sizes) < 20:
+    if not min(sizes):
         return {}
     found = {}
     for w, k in counts[1].items():
         odds = (k + 0.5) / sizes[1] / ((counts[0].get(w, 0) + 0.5) / sizes[0])
         if k >= max(LEAST, SHARE * sizes[1]) and odds >= ODDS and not w.isdigit():
-            found[w] = (odds, k)
-    best = sorted(found, key=lambda w: (-found[w][1], w))[:LEARNED]
-    return {w: min(0.6, 0.12 * float(np.log(found[w][0]))) for w in best}
+            found[w] = min(0.6, 0.12 * float(np.log(odds)))
+    return found
 
 
 def scores(model: Toxicity):
@@ -249,7 +279,7 @@ def scores(model: Toxicity):
 
 
 def score(docs: DataFrame, model: Toxicity) -> DataFrame:
-    """(doc_id, score, clauses, worst, toxic) of every row; worst: the lexicon words of the heaviest clause.
+    """(doc_id, score, clauses, worst, toxic) of every row; worst: the words of the heaviest clause that have a class.
 
     A text without a matched clause, empty or null, has score 0, no clauses and a null worst. Repeated rows
     give repeated results, a null doc_id is passed on, other columns are not read, an empty table gives no rows.
