@@ -80,9 +80,9 @@ def budget(leaves: DataFrame, percent: int = BUDGET_PERCENT, max_epochs: int = M
 
 
 def _leafed(docs: DataFrame, *columns: str) -> DataFrame:
-    """(row, domain, lang, source, id): the columns of docs' rows as structs, their leaves, and id for the place in an epoch."""
+    """(row, domain, lang, source, id): the columns of docs' rows as structs, their leaves, and id for the place in an epoch: of doc_id and text, so that rows of one id, or of none, have places of their own."""
     row = F.struct(*[F.col(f"`{c}`") for c in columns])
-    return docs.select(row.alias("row"), domain_of(F.col("source")).alias("domain"), F.coalesce("lang", F.lit(NONE)).alias("lang"), F.coalesce("source", F.lit(NONE)).alias("source"), F.coalesce(F.col("doc_id").cast("string"), F.lit(NONE)).alias("id"), F.col("text"))
+    return docs.select(row.alias("row"), domain_of(F.col("source")).alias("domain"), F.coalesce("lang", F.lit(NONE)).alias("lang"), F.coalesce("source", F.lit(NONE)).alias("source"), F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit(NONE)), F.md5("text")).alias("id"), F.col("text"))
 
 
 def _counted(docs: DataFrame, *columns: str) -> DataFrame:
@@ -117,7 +117,8 @@ def _reads(rows: DataFrame, plan: DataFrame, tokens) -> tuple[DataFrame, DataFra
     n = F.col("full") + F.when(b < F.col("end"), 1).otherwise(0)
     whole = at.withColumn("n", n).where("n > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     edge = at.where(b == F.col("end")).withColumn("t", tokens)
-    start = Window.partitionBy(*own).orderBy("place", "t").rowsBetween(Window.unboundedPreceding, -1)
+    # rows of one place are the same in id and text: then their other columns say which comes first
+    start = Window.partitionBy(*own).orderBy("place", F.to_json("row")).rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.withColumn("left", F.col("rest") - F.col("before") - F.coalesce(F.sum("t").over(start), F.lit(0))).where("left > 0").withColumn("take", F.least("t", "left"))
     return whole, edge.withColumn("epoch", F.col("full") + 1)
 
@@ -127,7 +128,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 
     take is less than t for the one document of a leaf where its prefix ends. Null lang and source are
     leaves named (none). Texts without a token (null, empty) are never read. Repeated rows count and are
-    read as often as they are there; their order among themselves makes no difference. Columns that docs has
+    read as often as they are there. The order of the input's rows makes no difference. Columns that docs has
     besides are passed on in row, whatever their names. An empty table gives an empty one.
     """
     counted = _counted(docs, *[c for c in docs.columns if c != "text"])
@@ -183,7 +184,7 @@ def mix_sql(docs: str) -> str:
 rows_ as (
   select *, case when coalesce(regexp_extract(source, '([0-9]{{1,9}})$', 1), '') = '' then 'other'
       else ['web', 'reference', 'forum', 'books'][regexp_extract(source, '([0-9]{{1,9}})$', 1)::int % 4 + 1] end as domain,
-    len(regexp_extract_all(text, '[^ \t\n\r]+'))::bigint as t, coalesce(lang, '{NONE}') as l_, coalesce(source, '{NONE}') as s_, coalesce(doc_id::varchar, '{NONE}') as id_ from {docs}
+    len(regexp_extract_all(text, '[^ \t\n\r]+'))::bigint as t, coalesce(lang, '{NONE}') as l_, coalesce(source, '{NONE}') as s_, coalesce(doc_id::varchar, '{NONE}') || '|' || md5(text) as id_ from {docs}
 ),
 leaves as (select domain, l_ as lang, s_ as source, sum(t)::hugeint as tokens from rows_ where t > 0 group by all),
 g0 as (select *, {_cases('domain', DOMAINS, DOMAINS['other'])}::hugeint as w0, {_cases('lang', LANGS, LANG)}::hugeint as w1, {SOURCE}::hugeint as w2, tokens * {MAX_EPOCHS} as cap,
@@ -191,7 +192,7 @@ g0 as (select *, {_cases('domain', DOMAINS, DOMAINS['other'])}::hugeint as w0, {
 {','.join(_split_sql(f'_{i}', i) for i in range(3))},
 plan as (select domain, lang, source, (given // tokens)::bigint as full_, (given % tokens)::bigint as rest_ from g3),
 joined as (select r.*, p.full_, p.rest_ from rows_ r join plan p on r.domain = p.domain and r.l_ = p.lang and r.s_ = p.source where t > 0),
-ordered as (select *, coalesce(sum(t) over (partition by domain, l_, s_ order by md5('{SEED}:' || (full_ + 1) || ':' || id_), t rows between unbounded preceding and 1 preceding), 0) as start_ from joined),
+ordered as (select *, coalesce(sum(t) over (partition by domain, l_, s_ order by md5('{SEED}:' || (full_ + 1) || ':' || id_) rows between unbounded preceding and 1 preceding), 0) as start_ from joined),
 reads as (
   select * exclude (t, full_, rest_, start_, l_, s_, id_, epoch_), epoch_ as epoch, t as n_tokens, t as take_tokens from (select *, unnest(generate_series(1, full_)) as epoch_ from ordered)
   union all by name select * exclude (t, full_, rest_, start_, l_, s_, id_), full_ + 1 as epoch, t as n_tokens, least(t, rest_ - start_)::bigint as take_tokens from ordered where start_ < rest_

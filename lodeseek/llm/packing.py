@@ -9,7 +9,7 @@ documents that fit into the gap and its own place most tightly; if they take mor
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,39 +79,34 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, tokens
 
     A document of more than capacity tokens fills bins of its own as often as it can, and its rest is packed
     like a document. tokens: the column expression of a document's tokens (by default those of common.n_tokens).
-    Texts without a token (null, empty) are in no bin. Rows with a null doc_id are packed; repeated rows are
-    packed as often as they are there. The order of the rows makes no difference, but for which of two equal
-    rows goes where. Other columns are not read. An empty table gives no rows.
+    Texts without a token (null, empty) are in no bin. Rows with a null doc_id are packed, and doc_id may be of any type that
+    can be ordered; repeated rows are counted first, and packed as often as they are there, in several groups. The order of the rows makes no
+    difference. Other columns are not read. An empty table gives no rows.
     """
-    spark = docs.sparkSession
+    kind = docs.schema["doc_id"].dataType.simpleString()
     t = n_tokens(F.col("text")) if tokens is None else tokens
-    items = written(docs.select("doc_id", t.alias("t"), F.xxhash64("doc_id", "text").alias("h")).where("t > 0"))
-    groups = max(1, -(-items.count() // group))
+    rows = docs.select("doc_id", t.alias("t"), F.xxhash64("doc_id", "text").alias("h")).where("t > 0")
+    items = written(rows.groupBy("doc_id", "t", "h").agg(F.count("*").alias("copies")))
+    groups = max(1, -(-(items.agg(F.sum("copies")).first()[0] or 0) // group))
+    each = items.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     rest = F.col("t") % capacity
-    whole = items.where(f"t >= {capacity}").select("doc_id", "h", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"t div {capacity} - 1"))).alias("i"))
-    # a null id goes as 0 with a mark: as a number beside nulls it would lose digits in pandas
-    small = items.where(rest > 0).select(F.pmod("h", F.lit(groups)).alias("g"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "h", (F.col("t") - rest).alias("start"), rest.cast("int").alias("n"))
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "none", "doc_id", "h", "start"], kind="stable").reset_index(drop=True)
-        found = pack(pdf["n"].tolist(), capacity)
-        order = np.fromiter((i for b in found for i in b), np.int64, len(pdf))
+    alone = each.where(f"t >= {capacity}").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"t div {capacity} - 1"))))
+    place = F.when(F.col("copy") == 1, F.col("h")).otherwise(F.xxhash64("h", "copy"))
+    small = each.where(rest > 0).select(F.pmod(place, F.lit(groups)).alias("g"), "doc_id", "h", "copy", (F.col("t") - rest).alias("start"), rest.cast("int").alias("n"))
+
+    def one(key: tuple, own: pa.Table) -> pa.Table:
+        own = own.combine_chunks().sort_by([(c, "ascending") for c in ("n", "doc_id", "h", "copy")])
+        found = pack(own["n"].to_pylist(), capacity)
         sizes = np.fromiter((len(b) for b in found), np.int64, len(found))
-        out = pdf.iloc[order]
+        out = own.take(pa.array([i for b in found for i in b], pa.int64()))
         ends = np.cumsum(sizes)
-        ids = pd.arrays.IntegerArray(out["doc_id"].to_numpy(np.int64), out["none"].to_numpy(bool))
-        return pd.DataFrame({"doc_id": ids, "bin": [f"{key[0]}-{i}" for i in np.repeat(np.arange(len(found)), sizes)], "slot": (np.arange(len(out)) - np.repeat(ends - sizes, sizes)).astype(np.int32), "start": out["start"].to_numpy(), "n_tokens": out["n"].to_numpy().astype(np.int32)})
-
-    shared = small.groupBy("g").applyInPandas(one, "doc_id long, bin string, slot int, start long, n_tokens int")
-    copy = F.row_number().over(_copies())
-    alone = whole.withColumn("copy", copy).select("doc_id", F.concat_ws("-", F.lit("whole"), F.hex("h"), F.col("copy").cast("string"), F.col("i").cast("string")).alias("bin"), F.lit(0).alias("slot"), (F.col("i") * capacity).alias("start"), F.lit(capacity).alias("n_tokens"))
-    return alone.unionByName(shared)
-
-
-def _copies():
-    from pyspark.sql import Window
+        bins = [f"{key[0].as_py()}-{i}" for i in np.repeat(np.arange(len(found)), sizes)]
+        slot = (np.arange(len(out)) - np.repeat(ends - sizes, sizes)).astype(np.int32)
+        return pa.table({"doc_id": out["doc_id"], "bin": pa.array(bins, pa.string()), "slot": pa.array(slot), "start": out["start"], "n_tokens": out["n"]})
 
-    return Window.partitionBy("h", "doc_id", "i").orderBy("i")
+    shared = small.groupBy("g").applyInArrow(one, f"doc_id {kind}, bin string, slot int, start long, n_tokens int")
+    whole = alone.select("doc_id", F.concat_ws("-", F.lit("whole"), F.hex("h"), F.col("copy").cast("string"), F.col("i").cast("string")).alias("bin"), F.lit(0).alias("slot"), (F.col("i") * capacity).alias("start"), F.lit(capacity).alias("n_tokens"))
+    return whole.unionByName(shared)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

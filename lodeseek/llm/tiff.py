@@ -21,8 +21,13 @@ from lodeseek.llm.common import table
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 16: 8, 17: 8, 18: 8}
 _CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
-#: Most bytes that one page's pixels may take; a page that claims more is an error row, not a lost executor.
+#: Most bytes that one page's pixels may take (a parameter of decode() and pages()): an Arrow value holds no more than 2 GiB. A page
+#: that claims more is an error row, not a lost executor.
 MOST_PIXELS = 1 << 30
+#: What a damaged file can raise while it is read.
+_DAMAGE = (ArithmeticError, LookupError, MemoryError, TypeError, ValueError, struct.error, zlib.error)
+#: Bytes with their bits the other way round.
+_TURNED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[:, ::-1], axis=1).tobytes()
 
 
 class TiffError(ValueError):
@@ -180,7 +185,8 @@ def lzw(data: bytes) -> bytes:
     return np.packbits(wide[np.arange(12) < b[:, None]].astype(np.uint8)).tobytes()
 
 
-def unpack(data: bytes, compression: int) -> bytes:
+def unpack(data: bytes, compression: int, need: int) -> bytes:
+    """The need bytes of a strip or tile; there may be more."""
     if compression == NONE:
         return data
     if compression == PACKBITS:
@@ -189,7 +195,7 @@ def unpack(data: bytes, compression: int) -> bytes:
         return unlzw(data)
     if compression in (DEFLATE, OLD_DEFLATE):
         try:
-            return zlib.decompressobj().decompress(data)
+            return zlib.decompressobj().decompress(data, max(1, need))
         except zlib.error as e:
             raise TiffError(f"deflate: {e}") from e
     raise TiffError(f"compression {compression} isn't supported")
@@ -288,10 +294,12 @@ class _Reader:
             yield tags
 
 
-def _page(data: bytes, order: str, tags: dict[int, tuple]) -> Page:
+def _page(data: bytes, order: str, tags: dict[int, tuple], most: int = MOST_PIXELS) -> Page:
     def one(tag: int, default: int | None = None) -> int:
         if tag in tags:
-            return int(tags[tag][0])
+            if len(tags[tag]) < 1 or not isinstance(tags[tag][0], int):
+                raise TiffError(f"tag {tag} has no whole number")
+            return tags[tag][0]
         if default is None:
             raise TiffError(f"tag {tag} is missing")
         return default
@@ -300,10 +308,15 @@ def _page(data: bytes, order: str, tags: dict[int, tuple]) -> Page:
     bits, kind, compression, predictor, planar = one(258, 1), one(339, 1), one(259, 1), one(317, 1), one(284, 1)
     if min(width, height, samples) < 1 or len(set(tags.get(258, (bits,)))) > 1:
         raise TiffError("no pixels, or samples of different sizes")
-    bilevel = bits == 1 and samples == 1
-    dtype = np.dtype("u1") if bilevel else _dtype(bits, kind)
-    if width * height * samples * dtype.itemsize > MOST_PIXELS:
+    small = bits in (1, 2, 4)
+    dtype = np.dtype("u1") if small else _dtype(bits, kind)
+    if width * height * samples * dtype.itemsize > most:
         raise TiffError("the page is too large")
+    turned = one(266, 1)
+    if turned not in (1, 2):
+        raise TiffError(f"fill order {turned}")
+    if small and predictor != 1:
+        raise TiffError(f"predictor {predictor} with {bits} bits isn't supported")
     tiled = 322 in tags
     tw, th = (one(322), one(323)) if tiled else (width, min(one(278, height), height))
     if min(tw, th) < 1:
@@ -315,7 +328,9 @@ def _page(data: bytes, order: str, tags: dict[int, tuple]) -> Page:
     if len(offsets) < across * down * planes or len(counts) < len(offsets) and compression != NONE:
         raise TiffError("strips or tiles are missing")
     out = np.zeros((height, width, samples), dtype)
-    row_bytes = -(-tw // 8) if bilevel else tw * depth * dtype.itemsize
+    row_bytes = -(-tw * depth * bits // 8) if small else tw * depth * dtype.itemsize
+    if min(offsets, default=0) < 0 or min(counts, default=0) < 0 or tw * th * depth * dtype.itemsize > 2 * most:
+        raise TiffError("strips or tiles that can't be")
     for k in range(across * down * planes):
         plane, rest = divmod(k, across * down)
         y, x = divmod(rest, across)
@@ -324,11 +339,13 @@ def _page(data: bytes, order: str, tags: dict[int, tuple]) -> Page:
         count = counts[k] if k < len(counts) else need
         if offsets[k] + count > len(data):
             raise TiffError(f"strip or tile {k} lies outside the file")
-        raw = unpack(data[offsets[k] : offsets[k] + count], compression)
+        raw = data[offsets[k] : offsets[k] + count]
+        raw = unpack(raw.translate(_TURNED) if turned == 2 else raw, compression, need)
         if len(raw) < need:
             raise TiffError(f"strip or tile {k} is too short")
-        if bilevel:
-            part = np.unpackbits(np.frombuffer(raw[:need], np.uint8).reshape(rows, row_bytes), axis=1)[:, :tw, None]
+        if small:
+            single = np.unpackbits(np.frombuffer(raw[:need], np.uint8).reshape(rows, row_bytes), axis=1)[:, : tw * depth * bits]
+            part = single.reshape(rows, tw, depth, bits) @ (1 << np.arange(bits - 1, -1, -1)).astype(np.uint8)
         else:
             part = unpredict(raw[:need], predictor, tw, depth, dtype, order)
         h, w = min(rows, height - y * th), min(tw, width - x * tw)
@@ -337,11 +354,16 @@ def _page(data: bytes, order: str, tags: dict[int, tuple]) -> Page:
     return Page(width, height, samples, bits, kind, compression, predictor, tiled, out, tags)
 
 
-def decode(data: bytes):
+def decode(data: bytes, most: int = MOST_PIXELS):
     """Yields the Page of each directory, in the order of the chain. Raises TiffError where the file is damaged."""
-    reader = _Reader(data)
-    for tags in reader.directories():
-        yield _page(data, reader.order, tags)
+    try:
+        reader = _Reader(data)
+        for tags in reader.directories():
+            yield _page(data, reader.order, tags, most)
+    except TiffError:
+        raise
+    except _DAMAGE as e:
+        raise TiffError(f"{type(e).__name__}: {e}") from e
 
 
 def encode(pages: list[dict], order: str = "<", big: bool = False) -> bytes:
@@ -388,11 +410,12 @@ def encode(pages: list[dict], order: str = "<", big: bool = False) -> bytes:
 _PAGE = "page int, width int, height int, samples int, bits int, compression int, predictor int, pixels binary, error string"
 
 
-def pages(images: DataFrame, id_col: str, image_col: str) -> DataFrame:
+def pages(images: DataFrame, id_col: str, image_col: str, most: int = MOST_PIXELS) -> DataFrame:
     """(id, page, width, height, samples, bits, compression, predictor, pixels, error): a row per page of each image.
 
     Pages are numbered from 0. pixels: rows from the top, samples of a pixel together, little endian; of
-    bilevel pages a byte per pixel. Where a file is damaged, pages before that are given, then a row with the
+    1, 2 or 4 bits a byte per sample. Either order of bits in bytes is read. A page of more than most bytes is an error
+    row, as it can't be one value; the page after it is not read. Where a file is damaged, pages before that are given, then a row with the
     number of the failed page, null in the other columns, and the reason in error. A null image gives no row,
     an empty one an error row for page 0. Repeated rows give repeated pages; other columns are not read.
     """
@@ -413,17 +436,21 @@ def pages(images: DataFrame, id_col: str, image_col: str) -> DataFrame:
                 data = image.as_py()
                 if data is None:
                     continue
-                n = 0
-                try:
-                    for p in decode(data):
-                        raw = p.pixels.astype(p.pixels.dtype.newbyteorder("<")).tobytes()
-                        rows.append((i, n, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, raw, None))
-                        n, held = n + 1, held + len(raw)
-                except (TiffError, struct.error) as e:
-                    rows.append((i, n, *[None] * 7, str(e)))
-                if held > 16 << 20:
-                    yield flush()
-                    rows, held = [], 0
+                n, found = 0, decode(data, most)
+                while True:
+                    try:
+                        p = next(found, None)
+                    except TiffError as e:
+                        rows.append((i, n, *[None] * 7, str(e)))
+                        break
+                    if p is None:
+                        break
+                    raw = p.pixels.astype(p.pixels.dtype.newbyteorder("<")).tobytes()
+                    rows.append((i, n, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, raw, None))
+                    n, held = n + 1, held + len(raw)
+                    if held > 16 << 20:
+                        yield flush()
+                        rows, held = [], 0
             if rows:
                 yield flush()
 

@@ -57,14 +57,14 @@ def brute(rows, percent=mixing.BUDGET_PERCENT, epochs=mixing.MAX_EPOCHS):
     own = defaultdict(list)
     for r in rows:
         if tokens(r[1]):
-            own[leaf(r)].append((r[0], len(tokens(r[1]))))
-    leaves = {k: sum(n for _, n in v) for k, v in own.items()}
+            own[leaf(r)].append((r[0], len(tokens(r[1])), r[1]))
+    leaves = {k: sum(n for _, n, _ in v) for k, v in own.items()}
     out = []
     for k, alloc in brute_budget(leaves, percent, epochs, mixing.DOMAINS, mixing.LANGS).items():
         full, rest = divmod(alloc, leaves[k])
-        out += [(i, k[0], e, n, n) for e in range(1, full + 1) for i, n in own[k]]
-        place = lambda x: (hashlib.md5(f"{mixing.SEED}:{full + 1}:{mixing.NONE if x[0] is None else x[0]}".encode()).hexdigest(), x[1])  # noqa: B023, E731
-        for i, n in sorted(own[k], key=place):
+        out += [(i, k[0], e, n, n) for e in range(1, full + 1) for i, n, _ in own[k]]
+        place = lambda x: (hashlib.md5(f"{mixing.SEED}:{full + 1}:{mixing.NONE if x[0] is None else x[0]}|{hashlib.md5(x[2].encode()).hexdigest()}".encode()).hexdigest(), x[1])  # noqa: B023, E731
+        for i, n, _ in sorted(own[k], key=place):
             if rest <= 0:
                 break
             out.append((i, k[0], full + 1, n, min(n, rest)))
@@ -119,3 +119,9 @@ def test_rows_of_the_stage(spark, messy, clashing, empty):
     assert again.columns == clashing.columns and rows_of(again.select(*messy.columns)) == rows_of(out)
     assert mixing.mix(empty).count() == 0 and mixing.mix(empty).columns == empty.columns
     assert mixing.mix(messy.where(F.col("text").isNull() | (F.trim("text") == ""))).count() == 0
+
+
+def test_the_order_of_the_rows_makes_no_difference(spark):
+    rows = [(7, f"w{i} a b c", "en", "src0", i) for i in range(12)] + [(None, f"v{i} a b c", "en", "src0", i) for i in range(12)] + [(8, "the same text", "en", "src0", i) for i in range(6)]
+    one, other = (rows_of(mixing.mix(spark.createDataFrame(r, SCHEMA).coalesce(1))) for r in (rows, rows[::-1]))
+    assert one == other and 0 < len(one) < len(rows)

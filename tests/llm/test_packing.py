@@ -77,6 +77,13 @@ def test_large_ids_beside_null_ones(spark):
     assert {r.doc_id for r in got.collect()} == {None, *[2**60 + i for i in range(5)]}
 
 
+def test_other_ids_and_many_copies(spark):
+    rows = [(f"d{i % 3}", "a b c") for i in range(60)] + [(None, "a b c d")] * 5
+    got = [tuple(r) for r in packing.packed(spark.createDataFrame(rows, "doc_id string, text string"), capacity=10, group=10).collect()]
+    pieces_hold(rows, got, 10)
+    assert len({b.split("-")[0] for _, b, *_ in got}) > 4
+
+
 def test_one_group_is_as_pack(spark):
     rnd = random.Random(1)
     lengths = [rnd.randint(1, 40) for _ in range(200)]
