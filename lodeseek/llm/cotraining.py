@@ -1,7 +1,7 @@
 """Quality classifier by co-training of two views.
 
-The content view is the hashed n-gram model of textfeat. The page view sees no words: language, source,
-length and layout (lines, letter case, digits, symbols, repeated neighbours). Each round, both views score
+The content view is the hashed n-gram model of textfeat, over the text alone. The page view sees no text, only the
+columns beside it: language, source and n_chars (in half octaves), and pairs of these, each value in a slot of its hash. Each round, both views score
 every document without a label in a distributed pass; either view labels those that it is surest of, and the
 other one trains on them too. Copies count once, and what is labelled leaves the pool. At the end both are calibrated on labelled documents that neither trained on, their
 log-odds are added, and the sum is calibrated again. Every document is scored, on its whole text.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.llm.common import free_name, table, written
 from lodeseek.llm.quality_rules import labelled_sample, own_labels, positive_share
-from lodeseek.llm.textfeat import BITS, DAMP, FAMILIES, SCALE, Rows, _row_sums, _slot, buffers, chunks, features, fit_logistic, hashed, platt, prior_shift, sigmoid
+from lodeseek.llm.textfeat import BITS, FAMILIES, Rows, TextModel, features, fit_logistic, platt, prior_shift, sigmoid
 
 #: Bound of what the two models are fitted on: labelled documents of each class.
 SAMPLE = 1000
@@ -27,21 +27,12 @@ ROUNDS = 4
 EXCHANGE, SURE = 60, 0.95
 #: Documents under this combined probability are rejected.
 REJECT = 0.35
-#: Hash slots for the values of lang and of source.
-SLOTS = 64
+#: Hash slots of the page view are 2**PAGE_BITS; so many values of each document.
+PAGE_BITS, VALUES = 18, 6
 
-_KIND = np.zeros(256, np.uint8)
-_KIND[[9, 32]] = 1
-_KIND[[10, 13]] = 2
-_KIND[65:91] = 3
-_KIND[48:58] = 4
-_KIND[33:48] = _KIND[58:65] = _KIND[91:97] = _KIND[123:127] = 5
-_KIND[[39, 44, 46]] = 6
-_SAME = int(_slot(np.zeros(1, np.uint64), 12)[0])
 
-
-def _slots(values: pa.Array, salt: int) -> np.ndarray:
-    """A slot by value; null has one of its own (0)."""
+def _codes(values: pa.Array) -> np.ndarray:
+    """A 64-bit hash by value; null has one of its own."""
     enc = values.cast(pa.string()).dictionary_encode()
     codes = enc.indices.fill_null(-1).to_numpy(zero_copy_only=False)
     own = [0]
@@ -49,55 +40,39 @@ def _slots(values: pa.Array, salt: int) -> np.ndarray:
         h = 1469598103934665603
         for b in v.encode():
             h = (h ^ b) * 1099511628211 % 2**64
-        own.append(1 + (h >> 20) % (SLOTS - 1))
-    return np.asarray(own)[codes + 1]
-
-
-def _layout(part: np.ndarray, o: np.ndarray, pairs: tuple) -> np.ndarray:
-    kind, size = _KIND[part], np.maximum(np.diff(o), 0)
-    share = [_row_sums(kind == k, o[:-1], o[1:]) / (size + DAMP) for k in range(1, 7)]
-    slots, a, b = pairs
-    same = _row_sums(slots == _SAME, a, b) / (np.maximum(b - a, 0) + DAMP)
-    return np.column_stack([np.log1p(size), *share, same])
-
-
-def read(texts: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Array, text_weights: np.ndarray | None, bias: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """Raw log-odds of the content view (zeros without weights) and the page view's features."""
-    data, off = buffers(texts)
-    z, dense = np.full(len(off) - 1, bias), np.zeros((len(off) - 1, 8))
-    for i, j in chunks(off):
-        part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
-        for f, (name, slots, a, b) in enumerate(hashed(part, o)):
-            if text_weights is not None:
-                z[i:j] += SCALE * _row_sums(text_weights[f][slots], a, b) / (np.maximum(b - a, 0) + DAMP)
-            if name == "word2":
-                dense[i:j] = _layout(part, o, (slots, a, b))
+        own.append(h)
+    return np.asarray(own, np.uint64)[codes + 1]
+
+
+def page_slots(lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> np.ndarray:
+    """The VALUES slots of each row in the page view."""
     said = n_chars.cast(pa.float64()).fill_null(-1).to_numpy(zero_copy_only=False)
-    at = np.arange(len(z))
-    wide = np.zeros((len(z), 2 * SLOTS))
-    wide[at, _slots(lang, 1)] = 1
-    wide[at, SLOTS + _slots(source, 2)] = 1
-    return z, np.column_stack([dense, np.log1p(np.maximum(said, 0)), said < 0, wide])
+    size = np.where(said < 0, 0, 1 + np.floor(2 * np.log2(1 + np.maximum(said, 0)))).astype(np.uint64)
+    one = [_codes(lang), _codes(source), size]
+    with np.errstate(over="ignore"):
+        pairs = [one[i] * np.uint64(0x9E3779B97F4A7C15) + one[j] for i, j in ((0, 1), (0, 2), (1, 2))]
+        mixed = [(x ^ (x >> np.uint64(29)) ^ np.uint64(k << 50)) * np.uint64(0xBF58476D1CE4E5B9) for k, x in enumerate([*one, *pairs])]
+    return np.column_stack([((x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - PAGE_BITS)).astype(np.int32) for x in mixed])
+
+
+def read(texts: pa.Array, text_weights: np.ndarray, bias: float) -> np.ndarray:
+    """Raw log-odds of the content view."""
+    return TextModel(text_weights, bias).logits(texts)
 
 
 @dataclass
 class PageModel:
-    mean: np.ndarray
-    scale: np.ndarray
     weights: np.ndarray
     bias: float
 
-    def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -6, 6) @ self.weights + self.bias
+    def logits(self, slots: np.ndarray) -> np.ndarray:
+        return self.weights[slots].sum(1) + self.bias
 
 
-def fit_page(x: np.ndarray, y: np.ndarray) -> PageModel:
-    mean, scale = x.mean(0), x.std(0) + 1e-2
-    z = np.clip((x - mean) / scale, -6, 6)
-    n, d = z.shape
-    rows = Rows(np.tile(np.arange(d, dtype=np.int32), n), z.ravel().astype(np.float32), np.arange(n + 1) * d)
-    w, b = fit_logistic(rows, y, d, steps=150, rate=0.05, l2=1e-3)
-    return PageModel(mean, scale, w, b)
+def fit_page(slots: np.ndarray, y: np.ndarray) -> PageModel:
+    n = len(slots)
+    rows = Rows(slots.ravel(), np.ones(n * VALUES, np.float32), np.arange(n + 1) * VALUES)
+    return PageModel(*fit_logistic(rows, y, 1 << PAGE_BITS, steps=100, rate=0.05, l2=1e-3))
 
 
 @dataclass
@@ -119,7 +94,7 @@ class CoModel:
 
     def log_odds(self, texts, lang, source, n_chars) -> tuple[np.ndarray, np.ndarray]:
         """Calibrated log-odds by content and by page."""
-        z, x = read(texts, lang, source, n_chars, self.text, self.text_bias)
+        z, x = read(texts, self.text, self.text_bias), page_slots(lang, source, n_chars)
         return self.cal[0][0] * z + self.cal[0][1], self.cal[1][0] * self.page.logits(x) + self.cal[1][1]
 
 
@@ -182,7 +157,7 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE, roun
 
     def both_views(rows: pa.Table) -> tuple[Rows, np.ndarray]:
         texts, *meta = (rows[c].combine_chunks() for c in _COLUMNS)
-        return features(texts), read(texts, *meta, None)[1]
+        return features(texts), page_slots(*meta)
 
     x_text, x_page = both_views(own)
     rng = np.random.default_rng(11)

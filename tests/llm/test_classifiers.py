@@ -141,9 +141,10 @@ def test_calibration():
     assert textfeat.prior_shift(np.array([1.0, 0.0]), 0.5) == 0
 
 
-def test_every_unlabelled_document_may_be_exchanged(spark):
+def test_every_unlabelled_document_may_be_exchanged(spark, monkeypatch):
     """The surest of each view are those of a pass over all, one of each group of copies."""
     rows = [(i, ("good clean sentence number %d with care" % i) if i % 2 else ("BUY NOW!!! $$$ click here %d" % i), "en", f"s{i % 3}", 40) for i in range(60)]
+    monkeypatch.setattr(cotraining, "SURE", 0.7)
     rows += [(100 + i, f"some other words {i} here", "en", "s1", 40) for i in range(2500)]
     rows += [(10_000 + i, "good clean sentence number with care " * 3, "en", "s1", 40) for i in range(5)]
     documents = spark.createDataFrame(rows, SCHEMA)
@@ -167,3 +168,48 @@ def test_every_unlabelled_document_may_be_exchanged(spark):
     assert len(given) == len(found) > 0
     again, _ = cotraining.surest(documents, free, model, set(given))
     assert not set(again["text"].to_pylist()) & set(found["text"].to_pylist())
+
+
+def slot(h, salt):
+    h = (h + (salt * 0x632BE59BD9B4E019)) * 0x9E3779B97F4A7C15 % 2**64
+    return (h ^ h >> 29) * 0x9E3779B97F4A7C15 % 2**64 >> 64 - textfeat.BITS
+
+
+def content_by_hand(text, weights, bias):
+    """Log-odds of one text: each n-gram hashed by itself with Python's integers."""
+    own = families(text or "")
+    word = lambda w: sum((b) * pow(0x100000001B3, i, 2**64) for i, b in enumerate(w)) % 2**64
+    poly = lambda c: __import__("functools").reduce(lambda h, b: (h * 0x1003F + b) % 2**64, c, 0)
+    slots = [[slot(poly(c), 3) for c in own["char3"]], [slot(poly(c), 5) for c in own["char5"]], [slot(word(w), 11) for w in own["word1"]], [slot((word(b) - word(a)) % 2**64, 12) for a, b in own["word2"]]]
+    return bias + sum(textfeat.SCALE * sum(float(weights[f][s]) for s in found) / (len(found) + textfeat.DAMP) for f, found in enumerate(slots))
+
+
+def probability(z):
+    return 1 / (1 + float(np.exp(-z)))
+
+
+@needs_data
+def test_every_score_by_hand(spark, tables):
+    """What the queries return for documents, computed one document and one n-gram at a time."""
+    documents, labels = tables
+    some = documents.where("doc_id % 17 = 0 and n_chars < 4000").unionByName(spark.createDataFrame([(-1, None, None, None, None), (-2, "", "xx", "new", 7)], documents.schema))
+    rows = {r.doc_id: r for r in some.collect()}
+    rules, co = quality_rules.train(documents, labels), cotraining.train(documents, labels)
+    got = {r.doc_id: r for r in quality_rules.score(some, rules).collect()}
+    for i, r in rows.items():
+        p = probability(rules.slope * content_by_hand(r.text, rules.weights, rules.bias) + rules.shift)
+        assert got[i].p_quality == pytest.approx(p, abs=1e-4)
+        assert got[i].verdict == ("reject" if got[i].p_quality < 0.15 else "review" if got[i].p_quality < 0.5 else "keep")
+    got = {r.doc_id: r for r in cotraining.score(some, co).collect()}
+    for i, r in rows.items():
+        page = cotraining.page_slots(pa.array([r.lang], pa.string()), pa.array([r.source], pa.string()), pa.array([r.n_chars], pa.int64()))[0]
+        zt = co.cal[0][0] * content_by_hand(r.text, co.text, co.text_bias) + co.cal[0][1]
+        zp = co.cal[1][0] * (sum(float(co.page.weights[k]) for k in page) + co.page.bias) + co.cal[1][1]
+        assert (got[i].p_content, got[i].p_page) == (pytest.approx(probability(zt), abs=1e-4), pytest.approx(probability(zp), abs=1e-4))
+        assert got[i].p_quality == pytest.approx(probability(co.cal[2][0] * (zt + zp) + co.cal[2][1]), abs=1e-4) and got[i].keep == (got[i].p_quality >= 0.35)
+
+
+def test_the_page_view_reads_no_text(spark, small):
+    model = cotraining.train(*small)
+    one, other = (cotraining.score(small[0].withColumn("text", t), model).select("doc_id", "p_page") for t in (F.col("text"), F.lit("something else")))
+    assert rows_of(one) == rows_of(other)
