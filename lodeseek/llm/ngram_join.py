@@ -36,12 +36,12 @@ from lodeseek.llm.textfeat import _LOWER, _WORD, _power_tables, buffers, chunks
 
 #: Words of an n-gram; the similarity from which documents are linked; size of the subsets.
 N, T, C = 3, 0.5, 2
-#: An n-gram in more than one of so many rows of a batch, and of all rows, and in LEAST_HOT of a batch, skips the buckets.
+#: An n-gram in more than one of so many rows that are read at once, and of all rows, and in LEAST_HOT of the former, skips the buckets.
 HOT, LEAST_HOT = 256, 32
 #: N-grams of a bucket, about, and those packed at once; live n-grams of a bucket of sets.
-PER_BUCKET, AT_ONCE, PER_SETS = 1_000_000, 1_500_000, 500_000
+PER_BUCKET, AT_ONCE, PER_SETS = 1_000_000, 1_000_000, 500_000
 #: Elements and sets of a block, sets that visit a cell, about.
-BLOCK, MEMBERS, VISITS = 1 << 20, 1024, 16_384
+BLOCK, MEMBERS, VISITS = 1 << 19, 512, 16_384
 #: Keys are sent to all executors up to so many, some 120 MB; more of them are joined by a shuffle.
 FEW = 2_000_000
 #: Shuffled rows of a subset and of a posting cost about the same; a scanned list element costs this much of one.
@@ -170,12 +170,12 @@ def _starts(x: np.ndarray) -> np.ndarray:
 
 def _hot(grams: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
     """N-grams that stand in least rows or more, and in how many. Only those of full slots of a table are sorted."""
-    slot = [(g & np.uint64((1 << 20) - 1)).astype(np.int64) for g in grams]
+    slot = lambda g: (g & np.uint64((1 << 20) - 1)).astype(np.int64)
     full = np.zeros(1 << 20, np.int64)
-    for s in slot:
-        full += np.bincount(s, minlength=1 << 20)
+    for g in grams:
+        full += np.bincount(slot(g), minlength=1 << 20)
     full = full >= least
-    g = np.sort(np.concatenate([x[full[s]] for x, s in zip(grams, slot)]))
+    g = np.sort(np.concatenate([g[full[slot(g)]] for g in grams]))
     at = _starts(g)
     many = np.diff(at) >= least
     return g[at[:-1][many]], np.diff(at)[many]
@@ -193,18 +193,20 @@ def signatures(docs: DataFrame, n: int = N) -> tuple[DataFrame, list[int]]:
     def sweep(batches):
         for b in batches:
             parts: list = [[], [], []]
-            grams = []
-            for _, count, _, g in _hashed(b.column("text"), n):
+            grams, held, rows = [], 0, 0
+            kinds = [b.column("doc_id").type, b.column("k").type, pa.int32(), pa.int64(), pa.int64()]
+            for at, count, _, g in _hashed(b.column("text"), n):
                 for part, x in zip(parts, (count, *_prints(count, g))):
                     part.append(x)
-                grams.append(g)
-            if grams:
+                grams, held, rows = [*grams, g], held + len(g), rows + len(count)
+                if held >= AT_ONCE or at + len(count) == len(b):
+                    hot_g, many = _hot(grams, max(LEAST_HOT, rows // HOT))
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(len(hot_g), k) for k in kinds), pa.array(hot_g.view(np.int64)), pa.array(many)], names)
+                    grams, held, rows = [], 0, 0
+            if parts[0]:
                 size, f1, f2 = (np.concatenate(p) for p in parts)
                 cols = [b.column("doc_id"), b.column("k"), pa.array(size.astype(np.int32)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(b), pa.int64()), pa.nulls(len(b), pa.int64())], names)
-                g, rows = _hot(grams, max(LEAST_HOT, len(b) // HOT))
-                none = [pa.nulls(len(g), c.type) for c in cols]
-                yield pa.RecordBatch.from_arrays([*none, pa.array(g.view(np.int64)), pa.array(rows)], names)
 
     names = ["doc_id", "k", "n", "sid", "f2", "g", "rows"]
     both = written(docs.select("doc_id", row_key(docs).alias("k"), "text").mapInArrow(sweep, f"doc_id {kind}, k binary, n int, sid long, f2 long, g long, rows long"))
@@ -397,7 +399,7 @@ def _common(own: tuple, rows: np.ndarray, g: np.ndarray, v: int) -> np.ndarray:
         ends = np.cumsum(reps)
         a = 0
         while a < len(col):
-            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 22), "right")))
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 19), "right")))
             r = reps[a:b]
             begin = np.repeat(at[col[a:b]] - (np.cumsum(r) - r), r)
             line = sets[begin + np.arange(r.sum())]
@@ -407,7 +409,7 @@ def _common(own: tuple, rows: np.ndarray, g: np.ndarray, v: int) -> np.ndarray:
     total = np.zeros((u, v), np.float32)
     order = np.argsort(col, kind="stable")
     col, rows = col[order], rows[order]
-    step = max(1, (1 << 23) // (u + v))
+    step = max(1, (1 << 21) // (u + v))
     for i in range(0, len(used), step):
         some = used[i : i + step]
         left, right = np.zeros((u, len(some)), np.float32), np.zeros((len(some), v), np.float32)
