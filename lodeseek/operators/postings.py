@@ -17,6 +17,8 @@ from lodeseek.functions.analysis import terms
 from lodeseek.functions.types import INVERTED, FieldType, Mapping
 
 BUCKETS = 64
+#: Document ids of a file of postings.
+SPAN = 1 << 22
 #: What a weight of 1 is written as.
 SCALE = 10_000
 
@@ -33,11 +35,23 @@ def tf_weight(tf: Column, n: Column) -> Column:
     return F.floor(tf / n * SCALE).cast("bigint")
 
 
+def _runs(t: Column) -> Column:
+    """(term, tf) of each distinct element of an array: its elements in order, cut where a new one begins."""
+
+    def cut(s: Column) -> Column:
+        last = F.size(s) - 1
+        starts = F.filter(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return F.transform(F.array(starts), lambda b: F.transform(b, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(b, k + 1), F.size(s)) - i).cast("bigint").alias("tf"))))[0]
+
+    # by way of one-element arrays: so each is computed once, and not again for each element
+    return F.transform(F.array(F.array_sort(t)), cut)[0]
+
+
 def term_frequencies(df: DataFrame, id_col: str, field: str) -> DataFrame:
-    """(_docid, term, tf, n): how often each token stands in each document, of n tokens."""
+    """(_docid, term, tf, n): how often each token stands in each row, of n tokens. Counted where the row is, without a shuffle."""
     t = terms(F.col(field), FieldType.STRING_SEG)
-    rows = df.select(F.col(id_col).alias("_docid"), t.alias("t")).select("_docid", F.size("t").alias("n"), F.explode("t").alias("term"))
-    return rows.groupBy("_docid", "term").agg(F.count("*").alias("tf"), F.max("n").cast("bigint").alias("n"))
+    rows = df.select(F.col(id_col).alias("_docid"), t.alias("t")).select("_docid", F.size("t").cast("bigint").alias("n"), F.explode(_runs(F.col("t"))).alias("r"))
+    return rows.select("_docid", "r.term", "r.tf", "n")
 
 
 def field_postings(df: DataFrame, id_col: str, field: str, kind: FieldType) -> DataFrame:
@@ -70,15 +84,24 @@ def doc_frequencies(found: DataFrame) -> DataFrame:
     return found.groupBy("field", "term").agg(F.count("*").alias("df"))
 
 
+def term_documents(df: DataFrame, field: str) -> DataFrame:
+    """(field, term, df) of segmented text: the only shuffle is that of the counts."""
+    t = F.array_distinct(terms(F.coalesce(F.col(field), F.lit("")), FieldType.STRING_SEG))
+    return df.select(F.explode(t).alias("term")).groupBy("term").agg(F.count("*").alias("df")).select(F.lit(field).alias("field"), "term", "df")
+
+
 def posting_lists(found: DataFrame) -> DataFrame:
     """(field, term, df, docs): each term's postings as one array by document."""
     return found.groupBy("field", "term").agg(F.count("*").alias("df"), F.sort_array(F.collect_list(F.struct("_docid", "weight"))).alias("docs"))
 
 
 def write_postings(found: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "overwrite") -> None:
-    """Writes postings for lookup: one shuffle, to field and bucket, and files sorted by term and document."""
+    """Writes postings for lookup: one shuffle, to field, bucket and range of SPAN ids, and files sorted by term and document.
+
+    The list of a frequent term, or of a field of few terms, is so in as many files as there are ranges.
+    """
     b = found.withColumn("bucket", bucket(F.col("term"), buckets))
-    b.repartition("field", "bucket").sortWithinPartitions("field", "bucket", "term", "_docid").write.mode(mode).partitionBy("field", "bucket").parquet(path)
+    b.repartition("field", "bucket", F.floor(F.col("_docid") / SPAN)).sortWithinPartitions("field", "bucket", "term", "_docid").write.mode(mode).partitionBy("field", "bucket").parquet(path)
 
 
 def read_postings(spark: SparkSession, path: str) -> DataFrame:
@@ -100,9 +123,14 @@ def lookup_any(found: DataFrame, field: str, wanted: Iterable[str], buckets: int
     return found.where((F.col("field") == field) & F.col("term").isin(wanted)).select("term", "_docid", "weight")
 
 
-def nth(lists: DataFrame, term: str, n: int) -> DataFrame:
-    """The n-th posting (from 0) of a term of posting_lists(); no row where there is none."""
-    return lists.where(F.col("term") == term).select(F.get("docs", F.lit(n)).alias("p")).where("p is not null").select("p.*")
+def nth(found: DataFrame, term: str, n: int) -> DataFrame:
+    """The n-th posting (from 0) of a term, by document; no row where there is none. No more than n + 1 of a partition are kept."""
+    return found.where(F.col("term") == term).select("_docid", "weight").orderBy("_docid").offset(n).limit(1)
+
+
+def posting_of(found: DataFrame, term: str, doc: int) -> DataFrame:
+    """(_docid, weight) of one document in a term's postings; no row where it hasn't the term."""
+    return found.where((F.col("term") == term) & (F.col("_docid") == doc)).select("_docid", "weight")
 
 
 def merged(*parts: DataFrame) -> DataFrame:

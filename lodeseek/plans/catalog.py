@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeseek.functions.analysis import terms
+from lodeseek.functions.analysis import dictionary_tokens, romanized
 from lodeseek.functions.types import FieldType, Mapping, parse_date, parse_number
 from lodeseek.operators import aggregate, filters, paging, postings, project, ranking, setops
 from lodeseek.operators.aggregate import Statistic
 from lodeseek.operators.filters import Filter, Op
 from lodeseek.plans import search
-from lodeseek.plans.request import SearchRequest, parse
+from lodeseek.plans.request import SearchRequest, parse, parse_body
 from lodeseek.sources import kv, load, shardlog
 from lodeseek.sources.storage import shared_dir
 from lodeseek.sources.table import Table
@@ -182,7 +182,16 @@ _filter("filter_range", tagged, TAGGED, Filter("n", Op.RANGE, 500, 900), "doc_id
 _filter("filter_date_range", events, EVENTS, Filter("ts", Op.RANGE, "2024-01-05", "2024-01-10 12:00:00"), "event_id", "select event_id from events where ts between '2024-01-05' and '2024-01-10 12:00:00'")
 _filter("filter_date_over", events, EVENTS, Filter("ts", Op.OVER, "2024-01-20"), "event_id", "select event_id from events where ts >= '2024-01-20'")
 _filter("filter_date_less", events, EVENTS, Filter("ts", Op.LESS, "2024-01-03"), "event_id", "select event_id from events where ts <= '2024-01-03'")
-_filter("filter_other_type", parts, PARTS, Filter("p_brand", Op.STR_PREFIX, values=("Brand",)), "p_partkey", "select p_partkey from part where false")
+
+
+@query("select 0::bigint as matched, count(*) as total from part")
+def filter_other_type(spark, d):
+    """A filter that its field's type hasn't matches nothing."""
+    df = parts(spark, d)
+    found = hits(df, PARTS, where=(Filter("p_brand", Op.STR_PREFIX, values=("Brand",)),)).agg(F.count("*").alias("matched"))
+    return found.crossJoin(F.broadcast(df.agg(F.count("*").alias("total"))))
+
+
 _filter("str_prefix", parts, PARTS, Filter("p_name", Op.STR_PREFIX, values=("blue", "red")), "p_partkey", "select p_partkey from part where starts_with(p_name, 'blue') or starts_with(p_name, 'red')")
 _filter("str_suffix", parts, PARTS, Filter("p_name", Op.STR_SUFFIX, values=("ring", "widget")), "p_partkey", "select p_partkey from part where suffix(p_name, 'ring') or suffix(p_name, 'widget')")
 _filter("str_contains_all", parts, PARTS, Filter("p_name", Op.STR_CONTAINS_ALL, values=("red", "get")), "p_partkey", "select p_partkey from part where contains(p_name, 'red') and contains(p_name, 'get')")
@@ -226,8 +235,14 @@ def tf_weight(spark, d):
 
 @query(f"with {_TOK} select doc_id, {_w('the')} as weight from tok where list_contains(t, 'the') order by doc_id limit 1 offset 5")
 def posting_nth(spark, d):
-    lists = postings.posting_lists(postings.field_postings(docs(spark, d), "doc_id", "text", FieldType.STRING_SEG))
-    return postings.nth(lists, "the", 5).select(F.col("_docid").alias("doc_id"), "weight")
+    found = postings.field_postings(docs(spark, d), "doc_id", "text", FieldType.STRING_SEG)
+    return postings.nth(found, "the", 5).select(F.col("_docid").alias("doc_id"), "weight")
+
+
+@query(f"with {_TOK} select doc_id, {_w('the')} as weight from tok where list_contains(t, 'the') and doc_id = 7")
+def posting_lookup(spark, d):
+    found = postings.field_postings(docs(spark, d), "doc_id", "text", FieldType.STRING_SEG)
+    return postings.posting_of(found, "the", 7).withColumnRenamed("_docid", "doc_id")
 
 
 @query("select source as term, count(*) as df, lead(source) over (order by source) as following from documents group by source")
@@ -239,7 +254,7 @@ def dictionary_terms(spark, d):
 
 @query(f"with {_TOK}, {_TERMS} select 'text' as field, term, count(*) as df from terms group by term")
 def doc_freq(spark, d):
-    return postings.doc_frequencies(postings.field_postings(docs(spark, d), "doc_id", "text", FieldType.STRING_SEG))
+    return postings.term_documents(docs(spark, d), "text")
 
 
 @query("select doc_id, c as term from (select doc_id, unnest(list_distinct(string_split(source, ''))) as c from documents)")
@@ -585,7 +600,8 @@ _kv("kv_first_last", kv.first_last, "select bucket, min(key) as first, max(key)
 _kv("kv_next_prev", kv.neighbours, "select *, lag(key) over w as previous, lead(key) over w as next from kv window w as (partition by bucket order by key)")
 _kv("kv_bucket_stats", kv.statistics, "select bucket, count(*) as keys, sum(strlen(key))::bigint as key_bytes, sum(strlen(value))::bigint as value_bytes from kv group by bucket")
 _kv("kv_totals", kv.totals, "select count(distinct bucket) as buckets, count(*) as pairs from kv")
-_kv("kv_check", kv.problems, "select bucket, key, 1::bigint as n, 1::int as v from kv where false")
+_kv("kv_check", lambda v: kv.problems(v.unionByName(v.where(f"bucket = '{_ONE}'"))), f"select bucket, key, 2::bigint as n, strlen(value)::int as v from kv where bucket = '{_ONE}'")
+_kv("kv_has", lambda v: v.sparkSession.createDataFrame([(k, kv.has(v, _ONE, k)) for k in ("Customer#000000005", "nobody")], "name string, there boolean"), f"select n as name, exists(select 1 from kv where bucket = '{_ONE}' and key = n) as there from (values ('Customer#000000005'), ('nobody')) t(n)")
 _kv("kv_sequence", lambda v: kv.sequenced(v, "bucket", "key", 10).select("bucket", "key", "seq"), "select bucket, key, row_number() over (partition by bucket order by key) + 10 as seq from kv")
 
 
@@ -603,8 +619,7 @@ def kv_transactions(spark, d):
     with store.update() as tx:
         for b in names:
             tx.put_all(b, kv.in_bucket(view, b).where(F.col("key").cast("string") >= "Customer#0000001").select("key", F.concat(F.col("value").cast("string"), F.lit("!")).alias("value")))
-        for r in view.where(F.col("key").cast("string").startswith("Customer#00000001")).select("bucket", "key").collect():
-            tx.delete(r.bucket, bytes(r.key))
+        tx.delete_all(view.where(F.col("key").cast("string").startswith("Customer#00000001")))
         tx.delete_bucket("customer/machinery")
     tx = store.update()
     tx.put(names[0], "lost", "value")
@@ -631,13 +646,114 @@ def worked_example_page(spark, d):
     return search.page(search.hits(df, DOCS, request), DOCS, request).drop("_docid")
 
 
-@query(None)
+_PAGE = f"""with {_TOK}, h as (select *, {_w('the')} as weight from tok where list_contains(t, 'the') and n_chars between 200 and 5000),
+g as (select string_agg(lang || '=' || n, ',' order by lang) as gather from (select lang, count(*) as n from h group by lang)), c as (select count(*) as total from h)"""
+
+
+def _answer(found: DataFrame) -> DataFrame:
+    """A JSON answer as rows: the page's documents in their order, each with what holds for the whole."""
+    kind = "struct<totalCount:bigint,`from`:bigint,`to`:bigint,status:string,gather:struct<lang:array<struct<value:string,n:bigint>>>,dataDetail:array<struct<doc_id:string,lang:string,n_chars:string>>>"
+    x = found.select(F.from_json("json", kind).alias("x")).select("x.*")
+    by = F.array_join(F.transform("gather.lang", lambda v: F.concat_ws("=", v["value"], v["n"].cast("string"))), ",")
+    return x.select(F.col("totalCount").alias("total"), F.col("from").alias("first"), F.col("to").alias("last"), "status", by.alias("gather"), F.posexplode("dataDetail").alias("place", "doc")).select("total", "first", "last", "status", "gather", "place", "doc.*")
+
+
+@query(f"""{_PAGE} select total, 11::bigint as first, least(total, 20)::bigint as last, 'OK' as status, gather, (row_number() over (order by weight desc, doc_id) - 11)::int as place, doc_id::varchar as doc_id, lang, n_chars::varchar as n_chars
+from h, g, c qualify row_number() over (order by weight desc, doc_id) between 11 and 20""")
 def search_response(spark, d):
-    """The same as one JSON answer."""
-    request = SearchRequest(terms=[("text", "the")], filters=[Filter("n_chars", Op.RANGE, 200, 5000)], gather=["lang"], show=["doc_id", "lang", "n_chars"])
-    return search.response(search.hits(docs(spark, d), DOCS, request), DOCS, request)
+    """The second page as one JSON answer."""
+    request = SearchRequest(terms=[("text", "the")], filters=[Filter("n_chars", Op.RANGE, 200, 5000)], gather=["lang"], show=["doc_id", "lang", "n_chars"], page=2)
+    return _answer(search.response(search.hits(docs(spark, d), DOCS, request), DOCS, request))
+
+
+_BODY = """{"search": [{"field": "text", "query": "the"}], "filters": [{"field": "n_chars", "op": "range", "start": 200, "end": 5000}], "gather": ["lang"], "show": ["doc_id", "lang", "n_chars"],
+"sort": {"by": "n_chars", "descending": true}, "pageSize": 5, "statistics": [{"op": "sum", "field": "n_chars", "gather": "lang"}, {"op": "max", "field": "n_chars"}]}"""
+
+
+@query(f"""{_PAGE} select total, gather, (row_number() over (order by n_chars desc, doc_id) - 1)::int as place, doc_id::varchar as doc_id, lang, (select max(n_chars) from h)::bigint as most,
+(select sum(n_chars) from h where lang = 'en')::bigint as english from h, g, c qualify row_number() over (order by n_chars desc, doc_id) <= 5""")
+def request_body(spark, d):
+    """A request as one JSON body: terms, a filter, a facet, statistics, and the order of a field."""
+    request = parse_body(_BODY, DOCS)
+    found = search.response(search.hits(docs(spark, d), DOCS, request), DOCS, request)
+    stats = found.select(F.get_json_object("json", "$.statistics.value_0.en").cast("bigint").alias("english"), F.get_json_object("json", "$.statistics.value_1").cast("bigint").alias("most"))
+    return _answer(found).select("total", "gather", "place", "doc_id", "lang").crossJoin(F.broadcast(stats))
+
 
+@query("select doc_id, n_chars from documents where lang = 'de' order by doc_id limit 10")
+def sort_id(spark, d):
+    request = parse({"ps": "10", "pg": "1", "lang": "de", "sort": "false"}, DOCS)
+    return search.page(search.hits(docs(spark, d), DOCS, request), DOCS, request).select(F.col("_docid").alias("doc_id"), F.col("n_chars").cast("bigint").alias("n_chars"))
 
-def typed_terms(df: DataFrame, mapping: Mapping) -> DataFrame:
-    """Each mapped field's terms as an array, for a look at the analyzers."""
-    return df.select(*[terms(F.col(f), k).alias(f) for f, k in mapping.fields.items()])
+
+@query("select doc_id, n_chars from documents where lang = 'de' order by n_chars desc, doc_id limit 10 offset 10")
+def sort_request(spark, d):
+    request = parse({"ps": "10", "pg": "2", "lang": "de", "sort": "n_chars:desc"}, DOCS)
+    return search.page(search.hits(docs(spark, d), DOCS, request), DOCS, request).select(F.col("_docid").alias("doc_id"), F.col("n_chars").cast("bigint").alias("n_chars"))
+
+
+@query(f"with {_TOK} select doc_id, {_w('the')} as weight from tok where list_contains(t, 'the') order by weight desc, doc_id limit 10 offset 20")
+def search_shards(spark, d):
+    """A page merged from the best rows of four shards."""
+    request = SearchRequest(terms=[("text", "the")], page=3)
+    df = docs(spark, d).withColumn("_shard", shardlog.shard_of(F.col("doc_id"), 4))
+    return ids(search.over_shards(df, DOCS, request, 4))
+
+
+# -- other ways in
+
+
+@query("select doc_id, lang, case when doc_id = 7 then 'pushed' else source end as source, case when doc_id = 7 then 16 else n_chars end as n_chars from documents")
+def push_document(spark, d):
+    t = _stored(spark, d)
+    own = table(spark, d, "documents").where("doc_id = 7").first()
+    load.push(t, {"doc_id": "7", "text": own.text, "lang": own.lang, "source": "pushed", "n_chars": "0x10", "unknown": "x"})
+    return _state(t)
+
+
+@query("select doc_id, lang, source, n_chars from documents where lang = 'de'")
+def load_and_destroy(spark, d):
+    """A table that is loaded with a merge, copied out, and destroyed."""
+    t = Table.create(spark, shared_dir(spark, "table-"), DOCS)
+    for where in ("lang = 'de' and doc_id % 2 = 0", "lang = 'de' and doc_id % 2 = 1"):
+        load.load(t, table(spark, d, "documents").where(where).select(*[F.col(f).cast("string").alias(f) for f in DOCS.fields]), merge=True)
+    kept = shared_dir(spark, "copy-")
+    _state(t).write.parquet(kept)
+    t.destroy()
+    return spark.read.parquet(kept)
+
+
+@query("select p_partkey, 'ECON' as first, true as econ from part where p_type = 'ECONOMY'")
+def dictionary_cut(spark, d):
+    """Texts cut by a dictionary that has a word, and a shorter one within it."""
+    cut = dictionary_tokens({"economy", "econ"})
+    found = table(spark, d, "part").where("p_type = 'ECONOMY'").withColumn("t", cut("p_type"))
+    return found.select("p_partkey", F.upper(F.element_at("t", 1)).alias("first"), (F.element_at("t", 2) == "economy").alias("econ"))
+
+
+@query("select n_nationkey, list_transform(list_filter(string_split(lower(n_name), ''), lambda c: c in ('a', 'e')), lambda c: case c when 'a' then 'ah' else 'eh' end) as readings from nation")
+def readings(spark, d):
+    """Readings of characters by a table, without tones; what has none is left out."""
+    read = romanized({"a": "āh,a", "e": "ēh"})
+    found = table(spark, d, "nation").withColumn("r", read(F.lower("n_name")))
+    return found.select("n_nationkey", F.filter("r", lambda x: x.isin("ah", "eh")).alias("readings"))
+
+
+@query(f"{_KV} select bucket, key, value from kv where bucket = '{_ONE}' union all select '{_ONE}', 'object', '{{\"a\": [1, 2]}}' union all select '{_ONE}', 'one', '1' union all select '{_ONE}', 'two', '2'")
+def kv_backup(spark, d):
+    """A store with a JSON value and two batched puts, read from its backup. A hook counts the commits."""
+    store, seen = kv.Store(spark, shared_dir(spark, "kv-")), []
+    with store.update() as tx:
+        tx.on_commit(lambda: seen.append(1))
+        for b in ("customer", _ONE):
+            tx.create_bucket(b)
+        tx.put_all(_ONE, kv.in_bucket(pairs(spark, d), _ONE))
+        tx.put_json(_ONE, "object", {"a": [1, 2]})
+    for k, v in (("one", "1"), ("two", "2")):
+        store.batch(lambda tx, k=k, v=v: tx.put(_ONE, k, v))
+    store.flush()
+    copy = shared_dir(spark, "kv-")
+    store.backup(copy)
+    if seen != [1]:
+        raise RuntimeError("the hook wasn't called once")
+    return texts(kv.Store(spark, copy).view())

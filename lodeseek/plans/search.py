@@ -7,9 +7,10 @@ terms' lists are read from their partitions and joined, and only then the column
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeseek.functions.analysis import analyzed, has_term, term_count, token_count
@@ -99,9 +100,22 @@ def index_hits(found: DataFrame, mapping: Mapping, request: SearchRequest, max_d
 
 
 def ordered(found: DataFrame, request: SearchRequest, id_col: str = "_docid") -> DataFrame:
+    if request.sort_by:
+        return ranking.by_field(found, request.sort_by, request.descending, id_col)
     return ranking.by_weight(found, id_col) if request.sort else ranking.by_id(found, id_col)
 
 
+def over_shards(df: DataFrame, mapping: Mapping, request: SearchRequest, shards: int, id_col: str = "_docid", **how) -> DataFrame:
+    """The page's (id, weight) as by shard: each gives its own best rows up to the page's end, which are merged and cut.
+
+    Weights are those of all shards together, so the page is the same as without shards.
+    """
+    found = hits(df, mapping, replace(request, shard=None), id_col=id_col, **how)
+    upto = request.page_size * request.page
+    tops = [ordered(found.where(F.col("_shard") == i), request, id_col).limit(upto) for i in range(shards)]
+    return paging.page(ordered(reduce(DataFrame.unionByName, tops), request, id_col), request.page_size, request.page)
+
+
 def page(found: DataFrame, mapping: Mapping, request: SearchRequest, id_col: str = "_docid") -> DataFrame:
     """The page's rows: id, weight and the shown fields as text."""
     rows = paging.page(ordered(found, request, id_col), request.page_size, request.page)
@@ -120,13 +134,23 @@ def response(found: DataFrame, mapping: Mapping, request: SearchRequest, id_col:
     size, first = request.page_size, request.page_size * (request.page - 1)
     rows = page(found, mapping, request, id_col)
     shown = request.show or list(mapping.fields)
-    order = [(-F.col("weight")).alias("a"), F.col(id_col).alias("b")] if request.sort else [F.col(id_col).alias("b")]
-    details = rows.agg(F.transform(F.sort_array(F.collect_list(F.struct(*order, F.struct(*shown).alias("d")))), lambda x: x["d"]).alias("dataDetail"))
+    # one page's rows, in its order
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.monotonically_increasing_id()))
+    details = rows.withColumn("__n", place).agg(F.transform(F.sort_array(F.collect_list(F.struct("__n", F.struct(*shown).alias("d")))), lambda x: x["d"]).alias("dataDetail"))
     total = found.agg(F.count("*").alias("totalCount"))
     out = total.crossJoin(details)
     if request.gather:
         by = facets(found, request).select("field", F.struct("value", "n").alias("x")).groupBy("field").agg(F.sort_array(F.collect_list("x")).alias("values"))
         out = out.crossJoin(by.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "values")))).alias("gather")))
+    for i, s in enumerate(request.statistics):
+        if s.gather:
+            own = aggregate.statistics_map(found, s).select(F.col("result").alias(f"__s{i}"))
+        else:
+            own = aggregate.statistics(found, s).select(F.max(s.alias).alias(f"__s{i}"))
+        out = out.crossJoin(own)
+    if request.statistics:
+        names = [f"__s{i}" for i in range(len(request.statistics))]
+        out = out.withColumn("statistics", F.struct(*[F.col(n).alias(f"{s.alias}_{i}") for i, (n, s) in enumerate(zip(names, request.statistics))])).drop(*names)
     there = F.col("totalCount") > first
     out = out.withColumns({"pageSize": F.lit(size), "pageNumber": F.lit(request.page), "from": F.when(there, first + 1).otherwise(0), "to": F.when(there, F.least(F.col("totalCount"), F.lit(first + size))).otherwise(0), "status": F.when(there, "OK").otherwise("not found")})
     return out.select(F.to_json(F.struct(*out.columns)).alias("json"))

@@ -182,6 +182,14 @@ class Transaction:
         self.frames.append(kv.withColumns({"deleted": F.lit(False), "seq": F.lit(len(self.entries)).cast("bigint")}))
         self.entries.append(None)
 
+    def delete_all(self, keys: DataFrame) -> None:
+        """Many (bucket, key) at once, from a table; absent keys make no difference. They count after the single puts before."""
+        if self.done or not self.writable:
+            raise KeyValueError("the transaction is over or only reads")
+        own = keys.select("bucket", F.col("key").cast("binary").alias("key"), F.lit(None).cast("binary").alias("value"))
+        self.frames.append(own.withColumns({"deleted": F.lit(True), "seq": F.lit(len(self.entries)).cast("bigint")}))
+        self.entries.append(None)
+
     def create_bucket(self, bucket: str) -> None:
         self._creatable(bucket)
         if bucket in self.buckets:

@@ -34,6 +34,10 @@ class Segment:
     rows: int
     first: int
     last: int
+    #: Its fields, which have no null texts, and the least and greatest key.
+    fields: tuple[str, ...] = ()
+    low: str = ""
+    high: str = ""
 
 
 @dataclass(frozen=True)
@@ -45,8 +49,8 @@ class Version:
     next_id: int = 0
     #: Documents ever added, deleted ones too.
     added: int = 0
-    #: Streaming batches that are in.
-    batches: tuple[str, ...] = ()
+    #: The last streaming batch that is in, by stream.
+    batches: dict[str, int] = field(default_factory=dict)
 
     def to_json(self) -> str:
         return json.dumps(asdict(self))
@@ -54,7 +58,14 @@ class Version:
     @classmethod
     def from_json(cls, text: str) -> Version:
         x = json.loads(text)
-        return cls(**x | {"segments": tuple(Segment(**s) for s in x["segments"]), "tombstones": tuple(x["tombstones"]), "batches": tuple(x["batches"])})
+        return cls(**x | {"segments": tuple(Segment(**s | {"fields": tuple(s["fields"])}) for s in x["segments"]), "tombstones": tuple(x["tombstones"])})
+
+    def has(self, batch: str | None) -> bool:
+        """batch: <stream>-<number>; numbers of a stream go up."""
+        return batch is not None and int(batch.rpartition("-")[2]) <= self.batches.get(batch.rpartition("-")[0], -1)
+
+    def with_batch(self, batch: str | None) -> dict[str, int]:
+        return self.batches if batch is None else self.batches | {batch.rpartition("-")[0]: int(batch.rpartition("-")[2])}
 
 
 @dataclass
@@ -114,19 +125,26 @@ class Table:
     def _schema(self, mapping: Mapping) -> T.StructType:
         return T.StructType([T.StructField("_docid", T.LongType()), *mapping.schema().fields])
 
-    def _segments(self, v: Version, names: list[str]) -> DataFrame:
+    def _segments(self, v: Version, segments: tuple[Segment, ...]) -> DataFrame:
+        """Rows of segments. Those that have all fields are read as they are, so that filters go down to their files."""
         mapping = Mapping.from_json(v.mapping)
         schema = self._schema(mapping)
-        if not names:
+        if not segments:
             return self.spark.createDataFrame([], schema)
-        df = self.spark.read.schema(schema).parquet(*[f"{self.path}/segments/{n}" for n in names])
-        # segments from before a field was added lack it: text is empty there, numbers and dates are missing
-        return df.select("_docid", *[F.coalesce(F.col(f), F.lit("")).alias(f) if k not in (FieldType.NUMBER, FieldType.DATE) else F.col(f) for f, k in mapping.fields.items()])
+        whole = [s for s in segments if set(mapping.fields) <= set(s.fields)]
+        parts = []
+        for some in (whole, [s for s in segments if s not in whole]):
+            if some:
+                df = self.spark.read.schema(schema).parquet(*[f"{self.path}/segments/{s.name}" for s in some])
+                # segments from before a field was added lack it: text is empty there, numbers and dates are missing
+                lacks = {f for f, k in mapping.fields.items() if k not in (FieldType.NUMBER, FieldType.DATE) and any(f not in s.fields for s in some)}
+                parts.append(df.select("_docid", *[F.coalesce(F.col(f), F.lit("")).alias(f) if f in lacks else F.col(f) for f in mapping.fields]))
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def everything(self) -> DataFrame:
         """All rows, deleted ones too."""
         v = self.version()
-        return self._segments(v, [s.name for s in v.segments])
+        return self._segments(v, v.segments)
 
     def tombstones(self) -> DataFrame:
         """(_docid) of the deleted rows."""
@@ -137,8 +155,17 @@ class Table:
 
     def rows(self) -> DataFrame:
         """The live rows."""
-        df = self.everything()
-        return df.join(self.tombstones(), "_docid", "left_anti") if self.version().tombstones else df
+        return self._live(self.version(), self.version().segments)
+
+    def _live(self, v: Version, segments: tuple[Segment, ...]) -> DataFrame:
+        df = self._segments(v, segments)
+        return df.join(self.at(v.number).tombstones(), "_docid", "left_anti") if v.tombstones else df
+
+    def _keyed(self, v: Version, low: str, high: str) -> DataFrame:
+        """(_docid, key) of the live rows in the segments whose keys can lie between low and high."""
+        pk = Mapping.from_json(v.mapping).primary_key
+        near = tuple(s for s in v.segments if not s.fields or s.low <= high and s.high >= low)
+        return self._live(v, near).where(F.col(pk).between(low, high)).select("_docid", pk)
 
     def max_doc(self) -> int:
         return self.version().added
@@ -151,10 +178,18 @@ class Table:
         missing = [f for f in mapping.fields if f not in rows.columns]
         if mapping.primary_key in missing:
             raise MappingError("rows need the primary key")
-        filled = rows.select((F.lit(base) + F.monotonically_increasing_id()).alias("_docid"), *[(F.col(f) if f in rows.columns else F.lit(None)).cast(t.dataType).alias(f) for f, t in zip(mapping.fields, mapping.schema())])
-        filled.write.parquet(f"{self.path}/segments/{name}")
-        n, first, last = self.spark.read.parquet(f"{self.path}/segments/{name}").agg(F.count("*"), F.min("_docid"), F.max("_docid")).first()
-        return Segment(name, n, first, last) if n else None
+        kinds = mapping.fields
+        own = lambda f, t: (F.col(f) if f in rows.columns else F.lit(None)).cast(t.dataType)
+        full = lambda f, t: own(f, t) if kinds[f] in (FieldType.NUMBER, FieldType.DATE) else F.coalesce(own(f, t), F.lit(""))
+        filled = rows.select((F.lit(base) + F.monotonically_increasing_id()).alias("_docid"), *[full(f, t).alias(f) for f, t in zip(kinds, mapping.schema())])
+        # a key is looked for in the row groups whose filter has it
+        filled.write.option(f"parquet.bloom.filter.enabled#{mapping.primary_key}", "true").parquet(f"{self.path}/segments/{name}")
+        return self._known(name, mapping)
+
+    def _known(self, name: str, mapping: Mapping) -> Segment | None:
+        pk = F.col(mapping.primary_key)
+        n, first, last, low, high = self.spark.read.parquet(f"{self.path}/segments/{name}").agg(F.count("*"), F.min("_docid"), F.max("_docid"), F.min(pk), F.max(pk)).first()
+        return Segment(name, n, first, last, tuple(mapping.fields), low, high) if n else None
 
     def add(self, rows: DataFrame, batch: str | None = None) -> Version:
         """Appends rows (typed columns) as they are, as one segment; keys that are there already come to be there twice.
@@ -162,11 +197,11 @@ class Table:
         A batch that is in already is not added again. No rows are no segment.
         """
         v = self.version()
-        if batch is not None and batch in v.batches:
+        if v.has(batch):
             return v
         s = self._staged(rows, Mapping.from_json(v.mapping), v.next_id)
         changes = {} if s is None else {"segments": (*v.segments, s), "next_id": s.last + 1, "added": v.added + s.rows}
-        return self._commit(v, **changes, batches=v.batches if batch is None else (*v.batches, batch))
+        return self._commit(v, **changes, batches=v.with_batch(batch))
 
     def upsert(self, rows: DataFrame, order_by: str | None = None, batch: str | None = None) -> Version:
         """Appends rows and buries what was there under their keys. Of rows of one key the last by order_by stays.
@@ -174,7 +209,7 @@ class Table:
         Without order_by a key that is there twice in rows keeps any one of them.
         """
         v = self.version()
-        if batch is not None and batch in v.batches:
+        if v.has(batch):
             return v
         mapping = Mapping.from_json(v.mapping)
         pk = mapping.primary_key
@@ -183,13 +218,12 @@ class Table:
             rows = rows.withColumn("__n", F.row_number().over(over)).where("__n = 1").drop("__n")
         else:
             rows = rows.dropDuplicates([pk])
-        live = self.at(v.number).rows().select("_docid", pk)
         s = self._staged(rows, mapping, v.next_id)
         if s is None:
-            return self._commit(v, batches=v.batches if batch is None else (*v.batches, batch))
+            return self._commit(v, batches=v.with_batch(batch))
         new = self.spark.read.parquet(f"{self.path}/segments/{s.name}").select(pk)
-        buried = self._bury(live.join(new, pk, "left_semi").select("_docid"))
-        return self._commit(v, segments=(*v.segments, s), next_id=s.last + 1, added=v.added + s.rows, tombstones=(*v.tombstones, *buried), batches=v.batches if batch is None else (*v.batches, batch))
+        buried = self._bury(self._keyed(v, s.low, s.high).join(new, pk, "left_semi").select("_docid"))
+        return self._commit(v, segments=(*v.segments, s), next_id=s.last + 1, added=v.added + s.rows, tombstones=(*v.tombstones, *buried), batches=v.with_batch(batch))
 
     def _bury(self, ids: DataFrame) -> list[str]:
         name = uuid.uuid4().hex
@@ -200,7 +234,11 @@ class Table:
         """Buries the rows of keys (one column); unknown keys make no difference."""
         v = self.version()
         pk = Mapping.from_json(v.mapping).primary_key
-        ids = self.at(v.number).rows().join(keys.select(F.col(keys.columns[0]).cast("string").alias(pk)), pk, "left_semi").select("_docid")
+        own = keys.select(F.col(keys.columns[0]).cast("string").alias(pk))
+        low, high = own.agg(F.min(pk), F.max(pk)).first()
+        if low is None:
+            return v
+        ids = self._keyed(v, low, high).join(own, pk, "left_semi").select("_docid")
         return self._commit(v, tombstones=(*v.tombstones, *self._bury(ids)))
 
     def delete_key(self, key: str) -> bool:
@@ -241,13 +279,14 @@ class Table:
         group = v.segments[start:]
         if len(group) < 2:
             return v
-        df = self._segments(v, [s.name for s in group])
+        df = self._segments(v, group)
         if purge and v.tombstones:
             df = df.join(self.at(v.number).tombstones(), "_docid", "left_anti")
         name = uuid.uuid4().hex
-        df.repartitionByRange("_docid").sortWithinPartitions("_docid").write.parquet(f"{self.path}/segments/{name}")
-        n = self.spark.read.parquet(f"{self.path}/segments/{name}").count()
-        return self._commit(v, segments=(*v.segments[:start], Segment(name, n, group[0].first, group[-1].last)))
+        df.repartitionByRange("_docid").sortWithinPartitions("_docid").write.option(f"parquet.bloom.filter.enabled#{Mapping.from_json(v.mapping).primary_key}", "true").parquet(f"{self.path}/segments/{name}")
+        made = self._known(name, Mapping.from_json(v.mapping))
+        made = (replace(made, first=group[0].first, last=group[-1].last),) if made else ()
+        return self._commit(v, segments=(*v.segments[:start], *made))
 
     def vacuum(self, keep: int = 1) -> list[str]:
         """Removes versions but the last keep, and the segments and tombstones that only they name."""

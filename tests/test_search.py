@@ -142,7 +142,7 @@ def test_hand_written_postings(spark):
     assert postings.lookup(p, "f", "c").count() == 0
     lists = postings.posting_lists(p)
     assert lists.where("term = 'abc'").first().df == 3
-    assert tuple(postings.nth(lists, "abc", 2).first()) == (3, 13) and postings.nth(lists, "abc", 3).count() == 0
+    assert tuple(postings.nth(p, "abc", 2).first()) == (3, 13) and postings.nth(p, "abc", 3).count() == 0
     a, b = postings.lookup(p, "f", "a"), postings.lookup(p, "f", "b")
     assert [tuple(r) for r in setops.intersection(a, b).collect()] == [(9, 19)]
     assert sorted(tuple(r) for r in setops.union(a, b).collect()) == [(2, 14), (4, 14), (9, 19)]

@@ -175,7 +175,7 @@ def test_streaming_is_as_batch(spark, tmp_path, folder):
     t = Table.create(spark, folder, M)
     ingest.ingest(ingest.log_stream(spark, log, 1), t, stream).awaitTermination()
     expect = sorted([(str(i), f"text {i}", i) for i in range(30)] + [("x", "", None)], key=str)
-    assert sorted(state(t), key=str) == expect and len(t.version().batches) >= 2
+    assert sorted(state(t), key=str) == expect and t.version().batches["log"] >= 1
     # the same batches again, as after a failure that lost the stream's own checkpoint
     ingest.ingest(ingest.log_stream(spark, log, 1), t, stream + "2").awaitTermination()
     assert sorted(state(t), key=str) == expect
