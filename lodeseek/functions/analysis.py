@@ -74,7 +74,8 @@ def has_term(text: Column, term: str, kind: FieldType) -> Column:
         return F.coalesce(F.array_contains(list_items(text), term), F.lit(False))
     if kind == FieldType.STRING_SINGLE:
         return F.coalesce(F.lit(len(term) == 1) & text.contains(term), F.lit(False))
-    return F.coalesce(text == term, F.lit(False))
+    # as it is, so that it goes down to the files; null is no match either
+    return text == term
 
 
 def dictionary_tokens(words: set[str]):

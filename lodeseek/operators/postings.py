@@ -44,7 +44,7 @@ def _runs(t: Column) -> Column:
         return F.transform(F.array(starts), lambda b: F.transform(b, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(b, k + 1), F.size(s)) - i).cast("bigint").alias("tf"))))[0]
 
     # by way of one-element arrays: so each is computed once, and not again for each element
-    return F.transform(F.array(F.array_sort(t)), cut)[0]
+    return F.transform(F.array(F.sort_array(t)), cut)[0]
 
 
 def term_frequencies(df: DataFrame, id_col: str, field: str) -> DataFrame:
