@@ -39,7 +39,7 @@ N, T, C = 3, 0.5, 2
 #: An n-gram in more than one of so many rows that are read at once, and of all rows, and in LEAST_HOT of the former, skips the buckets.
 HOT, LEAST_HOT = 256, 32
 #: N-grams of a bucket, about, and those packed at once; live n-grams of a bucket of sets.
-PER_BUCKET, AT_ONCE, PER_SETS = 1_000_000, 1_000_000, 500_000
+PER_BUCKET, AT_ONCE, PER_SETS = 1_000_000, 600_000, 500_000
 #: Elements and sets of a block, sets that visit a cell, about.
 BLOCK, MEMBERS, VISITS = 1 << 19, 512, 16_384
 #: Keys are sent to all executors up to so many, some 120 MB; more of them are joined by a shuffle.
@@ -109,7 +109,7 @@ def gram_sets(data: np.ndarray, off: np.ndarray, n: int = N) -> tuple[np.ndarray
 
 def _runs(off: np.ndarray):
     """chunks(), of at most 65,535 rows: a row's number takes 16 bits beside the hash."""
-    for i, j in chunks(off):
+    for i, j in chunks(off, 1 << 18):
         for k in range(i, j, 65_535):
             yield k, min(j, k + 65_535)
 
