@@ -24,6 +24,7 @@ Sets are told apart by a 64-bit print (two of s sets have the same one with a pr
 
 from __future__ import annotations
 
+from itertools import chain, combinations, islice
 from math import ceil, comb
 
 import numpy as np
@@ -42,8 +43,10 @@ HOT, LEAST_HOT = 256, 32
 PER_BUCKET, AT_ONCE, PER_SETS = 1_000_000, 600_000, 500_000
 #: Elements and sets of a block, sets that visit a cell, about.
 BLOCK, MEMBERS, VISITS = 1 << 19, 512, 16_384
-#: Keys are sent to all executors up to so many, some 120 MB; more of them are joined by a shuffle.
-FEW = 2_000_000
+#: Keys are sent to all executors up to so many, some 40 MB, of which two are built at once in the driver; of more of them a bitmap is.
+FEW = 250_000
+#: Bits of a bitmap for each key, and at most (2**MOST_BITS, 32 MB): more keys let more rows through that are none of them.
+KEY_BITS, MOST_BITS = 16, 28
 #: Shuffled rows of a subset and of a posting cost about the same; a scanned list element costs this much of one.
 SCAN_COST = 0.5
 #: Nanoseconds of one common n-gram of a sparse product, and of one cell of a dense one.
@@ -331,32 +334,48 @@ def _prefixes(live: DataFrame, sets: DataFrame, set_bits: int, t: float, c: int)
     return rows.repartition("q").sortWithinPartitions("q").mapInArrow(lambda batches: _sweep_buckets(batches, "q", done), "sid long, n long, w long, key long, g binary, prefix array<long>")
 
 
-def _subsets_udf(c: int):
-    @F.arrow_udf("array<struct<first:long,more:long>>")
-    def subsets(prefix: pa.Array) -> pa.Array:
-        """Each c-subset of each list: its first element, and a hash of the others. Lists are in one order of all elements."""
-        from itertools import combinations
+def _subsets(lists: DataFrame, c: int) -> DataFrame:
+    """(key, first, more): each c-subset of each list e: its first element, and a hash of the others. Lists are in one order of all elements.
 
-        off = prefix.offsets.to_numpy()
-        flat = prefix.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    They leave by AT_ONCE at most, however long the lists are.
+    """
+
+    def picks(q):
+        """Runs of the c-subsets of q places."""
+        every = combinations(range(q), c)
+        while len(x := np.fromiter(chain.from_iterable(islice(every, AT_ONCE // 4)), np.int64)):
+            yield x.reshape(-1, c)
+
+    def sweep(batches):
         index: dict = {}
-        firsts, keys, sizes = [], [], []
-        for i in range(len(prefix)):
-            own = flat[off[i] : off[i + 1]]
-            q = len(own)
-            if q not in index:
-                index[q] = np.asarray(list(combinations(range(q), c)), np.int64).reshape(-1, c)
-            h = np.zeros(len(index[q]), np.uint64)
-            for k in range(1, c):
-                h = _mix(h * _G + own[index[q][:, k]])
-            firsts.append(own[index[q][:, 0]].view(np.int64))
-            keys.append(h.view(np.int64))
-            sizes.append(len(h))
-        none = np.zeros(0, np.int64)
-        both = pa.StructArray.from_arrays([pa.array(np.concatenate(x) if x else none) for x in (firsts, keys)], ["first", "more"])
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), both)
-
-    return subsets
+
+        def batch(parts):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], ["key", "first", "more"])
+
+        held: list = [[], [], []]
+        size = 0
+        for b in batches:
+            e = b.column("e")
+            off, flat = e.offsets.to_numpy(), e.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            for i, key in enumerate(b.column("key").to_numpy()):
+                own = flat[off[i] : off[i + 1]]
+                q = len(own)
+                if q not in index and q <= 64:  # longer ones would fill the worker's memory
+                    index[q] = list(picks(q))
+                for at in index[q] if q in index else picks(q):
+                    if held[0] and size + len(at) > AT_ONCE:
+                        yield batch(held)
+                        held, size = [[], [], []], 0
+                    h = np.zeros(len(at), np.uint64)
+                    for k in range(1, c):
+                        h = _mix(h * _G + own[at[:, k]])
+                    for part, x in zip(held, (np.full(len(at), key), own[at[:, 0]].view(np.int64), h.view(np.int64))):
+                        part.append(x)
+                    size += len(at)
+        if size:
+            yield batch(held)
+
+    return lists.select("key", "e").mapInArrow(sweep, "key long, first long, more long")
 
 
 def _group_pairs(prefixes: DataFrame, groups: DataFrame, t: float, c: int) -> DataFrame:
@@ -367,7 +386,7 @@ def _group_pairs(prefixes: DataFrame, groups: DataFrame, t: float, c: int) -> Da
     sizes = written(posts.groupBy("key").agg(F.count("*").alias("size"), F.sum("groups").alias("scan")).where(F.col("size") >= c))
     x = boundary([(r.size, r.sets, float(r.scan)) for r in sizes.groupBy("size").agg(F.count("*").alias("sets"), F.sum("scan").alias("scan")).collect()], c)
     posts = posts.drop("groups").join(sizes.select("key", (F.col("size") <= x).alias("light")), "key")
-    keys = posts.where("light").groupBy("key").agg(F.sort_array(F.collect_list("g")).alias("e")).select("key", F.explode(_subsets_udf(c)("e")).alias("s")).select("key", "s.*")
+    keys = _subsets(posts.where("light").groupBy("key").agg(F.sort_array(F.collect_list("g")).alias("e")), c)
     met = keys.select("first", F.col("key").alias("a"), F.col("more").alias("m")).join(keys.select("first", F.col("key").alias("b"), F.col("more").alias("m")), ["first", "m"]).where("a < b").select("a", "b")
     heavy, every = posts.where("not light").select(F.col("key").alias("u"), "g"), posts.select(F.col("key").alias("v"), "g", "light")
     scanned = heavy.join(every, "g").where("u != v and (light or u < v)").groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).count().where(F.col("count") >= c).select("a", "b")
@@ -610,18 +629,25 @@ def classes(docs: DataFrame, **how) -> DataFrame:
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
-def _keys(keys: DataFrame) -> DataFrame:
-    """keys written, and marked for broadcast if they are FEW: then what they pick from, texts above all, stays where it is."""
-    keys = written(keys)
-    return F.broadcast(keys) if keys.count() <= FEW else keys
-
-
 def _once(rows: DataFrame, key: str, again: DataFrame) -> DataFrame:
-    """rows with one row of each key. again: _keys() of the keys that are there more than once, so that only those rows move."""
+    """rows with one row of each key. again: the keys that are there more than once, so that only those rows move."""
     same = F.col(key) == F.col("again")
     return rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates([key]))
 
 
+def _apart(rows: DataFrame, key: str, keys: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key may be one of keys, count of them about, and those whose key is none, by a bitmap of hashes."""
+    bits = min(MOST_BITS, max(16, ceil(np.log2(KEY_BITS * max(1, count)))))
+    h = F.xxhash64(F.lit(3), F.col(key)).bitwiseAND(F.lit((1 << bits) - 1))
+    at, page = h.bitwiseAND(F.lit((1 << 15) - 1)), F.shiftright(h, 15)
+    pages = written(keys.select(page.alias("page"), at.alias("at")).groupBy("page").agg(F.bitmap_construct_agg("at").alias("bits")))
+    # at most 2**(MOST_BITS - 15) pages of 4 KB
+    byte = F.conv(F.hex(F.substr("bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_one = F.coalesce(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    marked = rows.join(F.broadcast(pages), page == F.col("page"), "left").select(*rows.columns, is_one.alias("may"))
+    return marked.where("may").drop("may"), marked.where("not may").drop("may")
+
+
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """docs without all but one row of each class of classes(): the one of the least (doc_id, row_key) stays, null first.
 
@@ -631,11 +657,16 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     rows, sets = linked(docs, **how)
     known = rows.where("n > 0").join(sets, "sid").select("root", "k", F.struct("doc_id", "k").alias("row"))
     least = known.groupBy("root").agg(F.min("row").alias("stays"))
-    goes = _keys(known.join(least, "root").where("k != stays.k").select(F.col("k").alias("own")).distinct())
-    again = _keys(rows.where("n > 0").groupBy(F.col("k").alias("again")).count().where("count > 1").select("again"))
+    goes = written(known.join(least, "root").where("k != stays.k").select(F.col("k").alias("own")).distinct())
+    again = written(rows.where("n > 0").groupBy(F.col("k").alias("again")).count().where("count > 1").select("again"))
     # docs' columns go through as a struct: their names may be any
     whole = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"), row_key(docs).alias("own"))
-    return _once(whole.join(goes, "own", "left_anti"), "own", again).select("row.*")
+    many = goes.count(), again.count()
+    if max(many) <= FEW:
+        return _once(whole.join(F.broadcast(goes), "own", "left_anti"), "own", F.broadcast(again)).select("row.*")
+    # too many for a broadcast: rows that may be meant move, and no others
+    some, rest = _apart(whole, "own", goes.unionByName(again.withColumnRenamed("again", "own")), sum(many))
+    return rest.unionByName(_once(some.join(goes, "own", "left_anti"), "own", again)).select("row.*")
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

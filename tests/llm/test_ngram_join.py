@@ -162,6 +162,59 @@ def test_groups_of_near_copies(spark):
     assert got == {r[0] for r in survivors(rows)}
 
 
+def data_size(df):
+    """Bytes of the broadcasts of df, as Spark counts them."""
+
+    def walk(node):
+        own = node.metrics().apply("dataSize").value() if node.nodeName() == "BroadcastExchange" else 0
+        return own + sum(walk(node.children().apply(i)) for i in range(node.children().size()))
+
+    df.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df.collect()
+        return walk(df._jdf.queryExecution().executedPlan())
+    finally:
+        df.sparkSession.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_keys_that_are_sent_fit_a_small_driver(spark):
+    """Two times FEW keys, built at once, take no more than a third of a heap of 750 MB."""
+    n = min(nj.FEW, 400_000)
+    rows = spark.range(2 * n).select(F.unhex(F.md5(F.col("id").cast("string").cast("binary"))).alias("own"), "id")
+    size = data_size(rows.join(F.broadcast(rows.where(f"id < {n}").select("own")), "own", "left_anti").selectExpr("count(*)"))
+    assert 0 < 2 * nj.FEW * size / n < 250e6
+
+
+def test_more_keys_than_are_sent(spark, messy, clashing, monkeypatch):
+    expect = rows_of(nj.one_of_each(messy))
+    for most in (nj.MOST_BITS, 15):  # the latter lets nearly half of the rows through that are none of the keys
+        monkeypatch.setattr(nj, "MOST_BITS", most)
+        monkeypatch.setattr(nj, "FEW", 0)
+        assert rows_of(nj.one_of_each(messy)) == expect == survivors(messy_rows())
+        assert rows_of(nj.one_of_each(clashing).select(*messy.columns)) == expect
+
+
+def test_rows_that_are_no_key_stay_where_they_are(spark):
+    rows = spark.range(40_000).selectExpr("id as own")
+    keys = rows.where("own % 4 = 0")
+    some, rest = nj._apart(rows, "own", keys, 10_000)
+    assert some.unionByName(rest).distinct().count() == some.count() + rest.count() == 40_000
+    assert some.where("own % 4 = 0").count() == 10_000 and some.count() < 14_000
+
+
+def test_subsets_of_long_lists_leave_in_pieces(spark, monkeypatch):
+    """Before, all subsets of a batch's lists were one array: beyond 2**31 of them, or the worker's memory, it failed."""
+    monkeypatch.setattr(nj, "AT_ONCE", 400)
+    lists = [(1, [3, 5, 8]), (2, list(range(90))), (3, [7]), (4, list(range(10, 75)))]
+    df = spark.createDataFrame(lists, "key long, e array<long>").repartition(1)
+    subsets = nj._subsets(df, 2)
+    got = rows_of(subsets.select("key", "first").groupBy("key", "first").count())
+    assert got == sorted([(k, x, len(e) - 1 - i) for k, e in lists for i, x in enumerate(e[:-1])], key=repr)
+    assert subsets.distinct().count() == sum(len(e) * (len(e) - 1) // 2 for _, e in lists)
+    three = nj._subsets(df, 3)
+    assert three.where("key < 3").count() == three.where("key < 3").distinct().count() == 1 + 90 * 89 * 88 // 6
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (200, 200)] + [(300 + rnd.randint(0, 60), 300 + rnd.randint(0, 60)) for _ in range(50)]
