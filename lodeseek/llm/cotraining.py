@@ -132,8 +132,9 @@ def surest(documents: DataFrame, free: DataFrame, model: CoModel, given: set[tup
             said[view, sign] = [(r["__id"], r["__print"]) for r in best if r["__print"] not in gone][:EXCHANGE]
     new = sorted({x for own in said.values() for x in own})
     given.update(new)
-    # at most 4 * EXCHANGE ids
-    keys = documents.sparkSession.createDataFrame(new, "__id long, __print long")
+    # at most 4 * EXCHANGE ids; rows of Python would go through workers of their own on the executors
+    ids, prints = (pa.array([x[k] for x in new], pa.int64()) for k in (0, 1))
+    keys = documents.sparkSession.createDataFrame(pa.table({"__id": ids, "__print": prints}))
     rows = docs.join(F.broadcast(keys.select("__id").distinct()), "__id").withColumn("__print", print_of).join(F.broadcast(keys), ["__id", "__print"]).dropDuplicates(["__id", "__print"])
     found = rows.orderBy("__id", "__print").toArrow()
     at = {x: i for i, x in enumerate(zip(found["__id"].to_pylist(), found["__print"].to_pylist()))}

@@ -14,7 +14,7 @@ import pyarrow as pa
 #: Hash buckets of each family are 2**BITS.
 BITS = 18
 #: Bytes of text hashed at once; bounds the worker's memory whatever the batch or text size.
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 #: Values of sparse rows worked on at once in training; bounds the driver's memory.
 BLOCK = 1 << 20
 CHAR_NS = (3, 5)
@@ -180,7 +180,7 @@ class Rows:
 def features(texts: pa.Array) -> Rows:
     data, off = buffers(texts)
     slots, values, sizes = [], [], []
-    for i, j in chunks(off, CHUNK // 2):
+    for i, j in chunks(off, 2 * CHUNK):
         part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
         keys, vals, rows = [], [], []
         for f, (_, s, a, b) in enumerate(hashed(part, o)):

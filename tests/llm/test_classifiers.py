@@ -1,4 +1,5 @@
 import os
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -213,3 +214,28 @@ def test_the_page_view_reads_no_text(spark, small):
     model = cotraining.train(*small)
     one, other = (cotraining.score(small[0].withColumn("text", t), model).select("doc_id", "p_page") for t in (F.col("text"), F.lit("something else")))
     assert rows_of(one) == rows_of(other)
+
+
+def test_scoring_works_by_small_pieces(monkeypatch):
+    # a worker of an executor takes little besides its batch, whatever the batch has
+    texts = pa.array(["some words of a text, and more of them %d " % i * 80 for i in range(1500)])
+    model = textfeat.TextModel(np.ones((len(textfeat.FAMILIES), 1 << textfeat.BITS), np.float32))
+    monkeypatch.setattr(textfeat, "_powers", None)
+    tracemalloc.start()
+    try:
+        model.logits(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert texts.nbytes > 4_000_000 and peak < 12_000_000
+
+
+def test_exchange_starts_no_other_python_workers(spark, small, monkeypatch):
+    # rows of Python objects are unpickled by workers on the executors, besides those of the scores
+    def parallelize(*_, **__):
+        raise AssertionError("rows of Python objects")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", parallelize)
+    monkeypatch.setattr(cotraining, "SURE", 0.5)
+    model = cotraining.train(small[0], small[1].where("doc_id < 40"), rounds=1)
+    assert sum(n for *_, n in model.note["exchanged"]) > 0
