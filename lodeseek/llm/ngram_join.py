@@ -598,8 +598,9 @@ def linked(docs: DataFrame, n: int = N, t: float = T, c: int = C) -> tuple[DataF
     """
     sig, hot = signatures(docs, n)
     sets = written(sig.where("n > 0").groupBy("n", "sid", "f2").agg(F.count("*").alias("w")))
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    bits = min(30, max(1, ceil(np.log2(max(1, total / PER_BUCKET)))))
+    # copies from other batches go to the buckets too, and end there
+    total, rows = (x or 0 for x in sets.agg(F.sum("n"), F.sum(F.col("n") * F.col("w"))).first())
+    bits = min(30, max(1, ceil(np.log2(max(1, rows / PER_BUCKET)))))
     set_bits = min(30, max(1, ceil(np.log2(max(1, total / 4 / PER_SETS)))))
     live = _live(_scatter(docs, n, bits, hot), bits, set_bits)
     prefixes = written(_prefixes(live, sets, set_bits, t, c))

@@ -259,3 +259,22 @@ def test_other_thresholds(spark, t):
     rows = near_copies(7, 6) + [(900 + i, " ".join("abcdefgh"[i % 3 : i % 3 + n]), "", "", 1) for i, n in enumerate((1, 2, 3, 4, 5, 6, 4, 5))]
     rows += [(950 + i, " ".join("abcdefgh"[i : i + 4 + i % 2]), "", "", 1) for i in range(4)]
     assert rows_of(nj.classes(frame(spark, rows), t=t)) == brute(rows, t)
+
+
+def test_buckets_of_ngrams_have_a_bound_with_copies(spark, monkeypatch):
+    # each copy's n-grams go to the buckets, if a batch has no other of the same text
+    texts = [" ".join(f"t{i}w{j}" for j in range(402)) for i in range(10)]
+    once = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs = spark.range(0, 8, 1, 8).crossJoin(F.broadcast(once)).select((F.col("id") * 100 + F.col("doc_id")).alias("doc_id"), "text")
+    most = []
+    live = nj._live
+
+    def counted(postings, *bits):
+        most.append(postings.groupBy("p").agg(F.sum(F.length("blob")).alias("n")).agg(F.max("n")).first()[0])
+        return live(postings, *bits)
+
+    monkeypatch.setattr(nj, "_live", counted)
+    monkeypatch.setattr(nj, "PER_BUCKET", 1_000)
+    _, sets = nj.linked(docs)
+    assert sorted(r.links for r in sets.collect()) == [7] * 10
+    assert most[0] < 3 * 6 * nj.PER_BUCKET
